@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestrata.llm import cooccurrence, packing, tokens
+from lodestrata.llm import cooccurrence, names, packing, tokens
 from lodestrata.session import cut
 from lodestrata.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.signature_pairs(p2_people(spark, folder))
+
+
+def p2_people(spark: SparkSession, folder: str) -> DataFrame:
+    return names.link_people(table(spark, folder, "commits"), table(spark, folder, "given_names"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_cooccurrence(spark, folder).select("file_a", "file_b")
 
@@ -41,6 +49,8 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_people": p2_people,
     "p3_found": p3_found,
     "p3_cooccurrence": p3_cooccurrence,
     "p6_ids": p6_ids,
