@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestrata.llm import cooccurrence, names, packing, tokens
+from lodestrata.llm import codefiles, cooccurrence, names, packing, tokens
 from lodestrata.session import cut
 from lodestrata.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return codefiles.unwritten_files(table(spark, folder, "file_changes")).select("path")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.signature_pairs(p2_people(spark, folder))
 
@@ -49,6 +53,7 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_people": p2_people,
     "p3_found": p3_found,
