@@ -32,7 +32,7 @@ SIMILAR = 0.85
 ESTABLISHED = 5
 #: A short form is learned when it stands for the same name under the mailboxes of so many people.
 LEARNED_FROM = 3
-#: A mailbox used under so many different last names is shared.
+#: A mailbox used under so many last names that differ at their beginning, and given names too, is shared.
 SHARED_FROM = 3
 
 
@@ -226,7 +226,7 @@ def _partners(names: DataFrame) -> DataFrame:
 
 def _oriented(named: DataFrame) -> DataFrame:
     """Put the given name first: of two tokens it is the one shared by more names; else the order stays."""
-    n = cut(_partners(named.select("first", "last").distinct()))
+    n = _partners(named.select("first", "last").distinct())
     joined = named.join(n.withColumnsRenamed({"token": "first", "n": "n_first"}), "first").join(n.withColumnsRenamed({"token": "last", "n": "n_last"}), "last")
     swap = F.col("n_last") > F.col("n_first")
     return joined.select(
@@ -285,18 +285,17 @@ def link_people(commits: DataFrame, nicknames: DataFrame) -> DataFrame:
     not matter. Empty tables are allowed.
     """
     sig = F.concat(F.col("author"), F.lit(" <"), F.coalesce("email", F.lit("")), F.lit(">"))
-    signatures = commits.where(F.col("author").isNotNull()).select(sig.alias("sig"), "author", "email").groupBy("sig").agg(F.first("author").alias("author"), F.max("email").alias("email"))
+    signatures = commits.where(F.col("author").isNotNull()).select(sig.alias("sig"), "author", "email").groupBy("sig").agg(F.max("author").alias("author"), F.max("email").alias("email"))
     parsed = cut(parse_signatures(signatures))
     named = parsed.select("sig", "box", F.explode("names").alias("n")).select("sig", "box", F.col("n")[0].alias("first"), F.col("n")[1].alias("last"))
-    named = _oriented(named).withColumn("node", F.concat_ws(" ", F.lit("n"), F.least("first", "last"), F.greatest("first", "last")))
+    named = cut(_oriented(named).withColumn("node", F.concat_ws(" ", F.lit("n"), F.least("first", "last"), F.greatest("first", "last"))))
     names = named.select("node", "first", "last").distinct()
     forms = cut(_short_forms(nicknames).unionByName(_learned_forms(parsed)).distinct())
     shared = (
-        named.where("box is not null").groupBy("box").agg(F.count_distinct("last").alias("lasts"), F.count_distinct("first").alias("firsts"))
+        named.where("box is not null").groupBy("box")
+        .agg(F.count_distinct(F.substring("last", 1, 2)).alias("lasts"), F.count_distinct(F.substring("first", 1, 1)).alias("firsts"))
         .where((F.col("lasts") >= SHARED_FROM) & (F.col("firsts") >= SHARED_FROM)).select("box")
     )
-    spellings = named.join(shared, "box", "left_semi").groupBy("box").agg(F.count_distinct(F.substring("last", 1, 2)).alias("k"), F.count_distinct(F.substring("first", 1, 1)).alias("f"))
-    shared = spellings.where((F.col("k") >= SHARED_FROM) & (F.col("f") >= SHARED_FROM)).select("box")
     s = F.concat(F.lit("s "), "sig")
     edges = (
         parsed.select(s.alias("a"), s.alias("b"))
@@ -306,9 +305,15 @@ def link_people(commits: DataFrame, nicknames: DataFrame) -> DataFrame:
     )
     groups = cut(connected_components(edges))
     mine = groups.where("node like 's %'").select(F.expr("substring(node, 3)").alias("sig"), F.col("component").alias("person"))
-    moves = cut(_moves(parsed.join(mine, "sig"), named.join(mine, "sig"), forms))
-    final = connected_components(moves).withColumnsRenamed({"node": "person", "component": "to"})
-    return mine.join(final, "person", "left").select("sig", F.coalesce("to", "person").alias("person"))
+    moves = _moves(parsed.join(mine, "sig"), named.join(mine, "sig"), forms)
+    return mine.join(_resolved(moves), "person", "left").select("sig", F.coalesce("to", "person").alias("person"))
+
+
+def _resolved(moves: DataFrame) -> DataFrame:
+    """(person, to): moves (a, b), at most one per a, with those followed whose target moves as well."""
+    then = moves.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    to = F.when(F.col("c") == F.col("a"), F.least("a", "b")).otherwise(F.coalesce("c", "b"))
+    return moves.join(then, "b", "left").select(F.col("a").alias("person"), to.alias("to"))
 
 
 def _moves(parsed: DataFrame, named: DataFrame, forms: DataFrame) -> DataFrame:
@@ -318,7 +323,7 @@ def _moves(parsed: DataFrame, named: DataFrame, forms: DataFrame) -> DataFrame:
     agrees with the most of them, by letters, is meant; of several alike the only one in the same organisation.
     A group with a full name of its own needs the last name to agree, and the first unless it is an unknown form.
     """
-    full = named.select("person", "first", "last").distinct()
+    full = cut(named.select("person", "first", "last").distinct())
     known = _known(full.select("first", "last"), forms)
     firsts = full.join(known, F.col("first") == F.col("token"), "left").groupBy("person").agg(
         F.collect_set("first").alias("firsts"), F.max(F.col("token").isNotNull()).alias("established")
@@ -338,7 +343,7 @@ def _moves(parsed: DataFrame, named: DataFrame, forms: DataFrame) -> DataFrame:
         .groupBy("person", "target").agg(F.sum(F.length("key")).alias("letters"))
     )
     top = Window.partitionBy("person")
-    best = options.withColumn("most", F.max("letters").over(top)).where("letters = most").withColumn("n", F.count(F.lit(1)).over(top))
+    best = cut(options).withColumn("most", F.max("letters").over(top)).where("letters = most").withColumn("n", F.count(F.lit(1)).over(top))
     lone = best.where("n = 1").select("person", F.col("target").alias("to"))
     near = (
         best.where("n > 1").join(orgs, "person").join(orgs.select(F.col("person").alias("target"), "org"), ["target", "org"])
