@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestrata.llm import codefiles, cooccurrence, names, packing, tokens
+from lodestrata.llm import codefiles, cooccurrence, names, packing, spampages, tokens
 from lodestrata.session import cut
 from lodestrata.tables import table
 
@@ -52,6 +52,10 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(_packed(spark, folder))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spampages.spam_pages(table(spark, folder, "documents")).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -62,6 +66,7 @@ QUERIES = {
     "p6_roundtrip": p6_roundtrip,
     "p7_packs": p7_packs,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
 }
 
 _P3 = """
