@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import integrity
+from lodestrata.plans import analytics, integrity, scalars
 
-MODULES = [integrity]
+MODULES = [scalars, analytics, integrity]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
