@@ -16,13 +16,21 @@ def latest_commits(commits: DataFrame) -> DataFrame:
     return commits.where(F.col("sha").isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def before_split(split_ts: int | None) -> Column:
-    """Whether a row counts for predictors: at or before the split, or always without one. A null time does not."""
-    return F.lit(True) if split_ts is None else F.coalesce(F.col("ts") <= F.lit(split_ts), F.lit(False))
+def before_split(split: int | str | None) -> Column:
+    """Whether a row counts for predictors: at or before the split, or always without one. A null time does not.
+
+    The split is a time, or the name of a column with each row's own, where null is none.
+    """
+    if isinstance(split, str):
+        return F.col(split).isNull() | F.coalesce(F.col("ts") <= F.col(split), F.lit(False))
+    return F.lit(True) if split is None else F.coalesce(F.col("ts") <= F.lit(split), F.lit(False))
 
 
-def after_split(split_ts: int | None) -> Column:
-    return F.lit(False) if split_ts is None else F.coalesce(F.col("ts") > F.lit(split_ts), F.lit(False))
+def after_split(split: int | str | None) -> Column:
+    """Whether a row lies after the split; never without one."""
+    if split is None:
+        return F.lit(False)
+    return F.coalesce(F.col("ts") > (F.col(split) if isinstance(split, str) else F.lit(split)), F.lit(False))
 
 
 def split_timestamp(commits: DataFrame, fraction: float = 0.75) -> DataFrame:
@@ -69,7 +77,7 @@ def commit_entropy(changes: DataFrame) -> DataFrame:
     return sums.select("sha", h.alias("entropy"), "n_files")
 
 
-def change_entropy(changes: DataFrame, split_ts: int | None = None) -> DataFrame:
+def change_entropy(changes: DataFrame, split_ts: int | str | None = None) -> DataFrame:
     """(file_id, entropy): the sum of the entropies of the commits before the split in which a file has lines."""
     before = changes.where(before_split(split_ts))
     spread = commit_entropy(before).where("n_files > 1").select("sha", "entropy")
@@ -82,7 +90,7 @@ def max_complexity(units: DataFrame) -> DataFrame:
 
 
 def file_features(
-    changes: DataFrame, commits: DataFrame, units: DataFrame, file_ids: DataFrame, split_ts: int | None = None, strict_split: bool = False
+    changes: DataFrame, commits: DataFrame, units: DataFrame, file_ids: DataFrame, split_ts: int | str | None = None, strict_split: bool = False
 ) -> DataFrame:
     """One row per file with its path and all predictors and outcomes.
 
@@ -129,17 +137,17 @@ def universe(features: DataFrame, exclude_tests: bool = True) -> DataFrame:
     return known.where("not is_test") if exclude_tests else known
 
 
-def snapshot(changes: DataFrame, units: DataFrame, commits: DataFrame, split_ts: int | None = None) -> DataFrame:
+def snapshot(changes: DataFrame, units: DataFrame, commits: DataFrame, split_ts: int | str | None = None) -> DataFrame:
     """(file_id, size, wmc): the state of files at the split as far as the relations tell it.
 
     size is the number of lines left, all added less all removed, null where that is not positive; wmc is the sum
     of the complexities of each unit's last version, null for files without units.
     """
-    when = latest_commits(commits).where(before_split(split_ts)).select("sha", "seq", "ts")
+    when = latest_commits(commits).select("sha", "seq", "ts")
     live = changes.where("file_id is not null").where(before_split(split_ts)).groupBy("file_id").agg(
         F.sum(F.coalesce("add_lines", F.lit(0)).cast("bigint") - F.coalesce("del_lines", F.lit(0)).cast("bigint")).alias("left")
     )
-    versions = units.where("file_id is not null").join(when, "sha")
+    versions = units.where("file_id is not null").join(when, "sha").where(before_split(split_ts))
     order = F.struct("seq", "cc")
     last = versions.groupBy("file_id", "unit").agg(F.max(order).alias("v"))
     wmc = last.groupBy("file_id").agg(F.sum(F.coalesce("v.cc", F.lit(0)).cast("double")).alias("wmc"))

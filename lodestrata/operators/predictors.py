@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestrata.operators import rankstats as rs
+from lodestrata.session import cut
 
 CORE = ["impact", "impact_comp", "churn", "commits", "hotspot"]
 EXTRA = ["size", "wmc", "entropy", "ndev", "prior_fixes"]
@@ -32,10 +33,10 @@ def predictor_matrix(columns: DataFrame, by: list[str] | None = None) -> DataFra
     """(by, metric, predictor, control, value) for spearman, auc, partial, and the counts n_files, n_buggy, prevalence.
 
     The four rank sets (all files, and those with a known size, complexity, or both) go through one ranking and
-    one aggregation of all products, side by side. Statistics of three or fewer rows with an extra predictor, or
+    one aggregation of all products, side by side; the columns, which many ranks read, are checkpointed once. Statistics of three or fewer rows with an extra predictor, or
     of too few for many controls, are null.
     """
-    by = by or []
+    by, columns = by or [], cut(columns)
     keys = [*by, "subset"]
     sets = F.array(*[F.when(F.lit(True) if not need else F.expr(" and ".join(f"{c} is not null" for c in need)), F.lit(name)) for name, need in PARTLY.items()])
     rows = columns.withColumn("subset", F.explode(sets)).where("subset is not null")

@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestrata.session import cut
+
 #: Parts that the values of a measure are cut into, so that no task orders all of them.
 SPLITS = 64
 #: A matrix of controls below this determinant is taken for collinear.
@@ -123,7 +125,7 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def _ranked_correlations(df: DataFrame, columns: Sequence[str], key: str, by: Sequence[str]) -> DataFrame:
-    complete = df.where(" and ".join(f"`{c}` is not null" for c in columns))
+    complete = cut(df.where(" and ".join(f"`{c}` is not null" for c in columns)).select(*by, key, *columns))
     return correlations(rank_columns(complete, key, columns, by), columns, by)
 
 
@@ -154,7 +156,7 @@ def auc_of(rank2_of_positives: Column, positives: Column, n: Column) -> Column:
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, value): the chance that a random positive scores above a random negative, ties counting half."""
-    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    known = cut(df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*by, score, label))
     rows = known.select(*by, F.lit("score").alias("measure"), F.col(score).cast("double").alias("value"), F.col(label).cast("int").alias("label"))
     counted = rows.groupBy(*by, "measure", "value").agg(F.count(F.lit(1)).alias("m"), F.sum("label").alias("p"))
     ranks = value_ranks(rows, by)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestrata.operators import features, rankstats as rs
+from lodestrata.session import cut
 
 CONTROLS = ["churn", "files", "cc", "n_units", "entropy"]
 
@@ -55,6 +56,7 @@ def szz_counts(commits: DataFrame, links: DataFrame) -> DataFrame:
 
 def szz_statistics(feats: DataFrame) -> DataFrame:
     """(metric, predictor, control, value): AUCs, partials given churn, and partials given many controls."""
+    feats = cut(feats)
     columns = ["mutation", "composite", "label", *CONTROLS]
     ranks = rs.rank_columns(feats, "sha", columns)
     at = {c: i for i, c in enumerate(columns)}
@@ -86,6 +88,7 @@ def induce_rate_by_quarter(feats: DataFrame) -> DataFrame:
 
     A commit's place is the number of smaller mutations, plus its own place by (seq, sha) among equal ones.
     """
+    feats = cut(feats)
     long = feats.select(F.lit("mutation").alias("measure"), F.col("mutation").cast("double").alias("value"), "seq", "sha", "label")
     ranks = rs.value_ranks(long).select("measure", "value", ((F.col("rank2") - F.col("n") - 1) / 2).cast("bigint").alias("smaller"))
     # equal values are numbered in two steps, as one value (such as 0) may hold many of the commits
