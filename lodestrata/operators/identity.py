@@ -39,6 +39,12 @@ def assignments(events: DataFrame) -> DataFrame:
         state = jumped.drop("moved")
 
 
+def root_ids(chains: DataFrame) -> DataFrame:
+    """(root, id, first_path): ids dense from 1 in the order in which files first appear."""
+    firsts = chains.where("event = root").select(F.col("root.seq").alias("seq"), F.col("root.ordinal").alias("ordinal"), "root", "path")
+    return numbered(firsts, "seq", ["ordinal"]).select("root", (F.col("place") + 1).alias("id"), F.col("path").alias("first_path"))
+
+
 def file_identity(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file_ids, file_alias) of a history: (id, canonical_path) and (path, file_id), as at its end.
 
@@ -47,8 +53,7 @@ def file_identity(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     (seq, ordinal) should be unique; null paths or seqs are left out.
     """
     chains = assignments(events)
-    roots = numbered(chains.where("event = root").select(F.col("root.seq").alias("seq"), F.col("root.ordinal").alias("ordinal"), "root", "path"), "seq", ["ordinal"])
-    ids = roots.select("root", (F.col("place") + 1).alias("id"), F.col("path").alias("first_path"))
+    ids = root_ids(chains)
     last = chains.where("renamed").groupBy("root").agg(F.max_by("path", "event").alias("last_path"))
     file_ids = ids.join(last, "root", "left").select("id", F.coalesce("last_path", "first_path").alias("canonical_path"))
     now = chains.groupBy("path").agg(F.max_by("root", "event").alias("root"))
