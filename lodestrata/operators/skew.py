@@ -105,7 +105,7 @@ def heavy_keys(rows: DataFrame, key: str, spread: Sequence[str], percent: int =
     """
     share = percent / 100
     counts = salted_aggregate(rows, key, {"n_rows": Measure(F.count(F.lit(1)))}, spread, share / 2, salts)
-    total = counts.agg(F.sum("n_rows").alias("total_rows"))
+    total = rows.agg(F.count(F.lit(1)).alias("total_rows"))
     return (
         counts.withColumn("total_rows", total.scalar())
         .where(F.col(key).isNotNull() & (F.col("n_rows") * 100 >= F.col("total_rows") * percent))
