@@ -9,7 +9,7 @@ def hunk_ranges(header: Column) -> dict[str, Column]:
     """Old and new start and count of '@@ -a[,b] +c[,d] @@'; an omitted count is 1, a malformed header gives nulls."""
     pattern = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
     part = lambda i: F.regexp_extract(header, pattern, i)
-    number = lambda i, default: F.when(part(1) == "", None).otherwise(F.coalesce(F.nullif(part(i), F.lit("")), F.lit(default)).cast("int"))
+    number = lambda i, default: F.when(part(1) != "", F.coalesce(F.nullif(part(i), F.lit("")), F.lit(default)).cast("int"))
     return {"old_start": number(1, None), "old_count": number(2, "1"), "new_start": number(3, None), "new_count": number(4, "1")}
 
 

@@ -12,7 +12,8 @@ def lines(add: str = "add_lines", gone: str = "del_lines") -> Column:
 
 def latest_commits(commits: DataFrame) -> DataFrame:
     """One row per sha, the one that arrived last; of those at once, the one with the largest seq. Null shas left out."""
-    order = Window.partitionBy("sha").orderBy(F.desc_nulls_last("ingested_at"), F.desc_nulls_last("seq"), F.xxhash64("author", "email", "subject"))
+    arrived = [F.desc_nulls_last("ingested_at")] if "ingested_at" in commits.columns else []
+    order = Window.partitionBy("sha").orderBy(*arrived, F.desc_nulls_last("seq"), F.xxhash64("author", "email", "subject"))
     return commits.where(F.col("sha").isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
