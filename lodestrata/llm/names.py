@@ -143,7 +143,7 @@ def _partial(tokens: list[str]) -> list[str]:
 
 def _parse(author: str, email: str | None) -> dict:
     tokens, box = name_tokens(author), mailbox(email)
-    names = [n for n in [_full(tokens)] if n]
+    names = [[*n, "author"] for n in [_full(tokens)] if n]
     partial = _partial(tokens)
     own = None
     if box:
@@ -155,7 +155,7 @@ def _parse(author: str, email: str | None) -> dict:
             own = f"{local}@{org}"
             mine = _full(parts) if all(p.isalpha() for p in parts) and all(len(p) > 1 for p in parts) else None
             if mine:
-                names.append(mine)
+                names.append([*mine, "address"])
             else:
                 partial += _partial(parts)
     return {"names": names, "partial": list(dict.fromkeys(partial)), "box": own, "org": box[1] if box and box[1] != "noreply" else None}
@@ -188,7 +188,7 @@ def _short_forms(nicknames: DataFrame) -> DataFrame:
 
 def _learned_forms(parsed: DataFrame) -> DataFrame:
     """(short, name) seen for the same last name under one mailbox, of several people."""
-    own = parsed.where("box is not null").select("box", F.explode("names").alias("n")).select("box", F.col("n")[0].alias("first"), F.col("n")[1].alias("last")).distinct()
+    own = parsed.where("box is not null").select("box", F.explode("names").alias("n")).where(F.col("n")[2] == "author").select("box", F.col("n")[0].alias("first"), F.col("n")[1].alias("last")).distinct()
     other = own.withColumnRenamed("first", "other")
     counted = (
         own.join(other, ["box", "last"]).where("first <> other")
@@ -225,12 +225,19 @@ def _partners(names: DataFrame) -> DataFrame:
 
 
 def _oriented(named: DataFrame) -> DataFrame:
-    """Put the given name first: of two tokens it is the one shared by more names; else the order stays."""
-    n = _partners(named.select("first", "last").distinct())
-    joined = named.join(n.withColumnsRenamed({"token": "first", "n": "n_first"}), "first").join(n.withColumnsRenamed({"token": "last", "n": "n_last"}), "last")
-    swap = F.col("n_last") > F.col("n_first")
+    """Put the given name first: the token that more authors write first than last, and else the one of more names.
+
+    Only authors tell the order; addresses are written either way.
+    """
+    author = F.when(F.col("source") == "author", 1).otherwise(0)
+    tokens = named.select("first", "last", author.alias("by")).distinct()
+    side = lambda c, o, sign: tokens.select(F.col(c).alias("token"), F.col(o).alias("other"), (F.col("by") * sign).alias("lead"))
+    leads = side("first", "last", 1).unionByName(side("last", "first", -1)).groupBy("token").agg(F.sum("lead").alias("lead"), F.count_distinct("other").alias("n"))
+    rank = leads.select("token", F.struct("lead", "n").alias("rank"))
+    joined = named.join(rank.withColumnsRenamed({"token": "first", "rank": "of_first"}), "first").join(rank.withColumnsRenamed({"token": "last", "rank": "of_last"}), "last")
+    swap = F.col("of_last") > F.col("of_first")
     return joined.select(
-        *[c for c in named.columns if c not in ("first", "last")],
+        *[c for c in named.columns if c not in ("first", "last", "source")],
         F.when(swap, F.col("last")).otherwise(F.col("first")).alias("first"), F.when(swap, F.col("first")).otherwise(F.col("last")).alias("last"),
     )
 
@@ -287,7 +294,7 @@ def link_people(commits: DataFrame, nicknames: DataFrame) -> DataFrame:
     sig = F.concat(F.col("author"), F.lit(" <"), F.coalesce("email", F.lit("")), F.lit(">"))
     signatures = commits.where(F.col("author").isNotNull()).select(sig.alias("sig"), "author", "email").groupBy("sig").agg(F.max("author").alias("author"), F.max("email").alias("email"))
     parsed = cut(parse_signatures(signatures))
-    named = parsed.select("sig", "box", F.explode("names").alias("n")).select("sig", "box", F.col("n")[0].alias("first"), F.col("n")[1].alias("last"))
+    named = parsed.select("sig", "box", F.explode("names").alias("n")).select("sig", "box", F.col("n")[0].alias("first"), F.col("n")[1].alias("last"), F.col("n")[2].alias("source"))
     named = cut(_oriented(named).withColumn("node", F.concat_ws(" ", F.lit("n"), F.least("first", "last"), F.greatest("first", "last"))))
     names = named.select("node", "first", "last").distinct()
     forms = cut(_short_forms(nicknames).unionByName(_learned_forms(parsed)).distinct())
