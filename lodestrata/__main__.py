@@ -37,6 +37,7 @@ def main(argv: list[str] | None = None) -> int:
     scan.add_argument("--since")
     scan.add_argument("--until", default="HEAD")
     scan.add_argument("--max-commits", type=int)
+    scan.add_argument("--progress-file")
     scan.add_argument("--wmc-context", choices=("before", "after"), default="before")
     scan.add_argument("--no-units", action="store_true")
     scan.add_argument("--no-szz", action="store_true")
@@ -58,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
         out = args.out or f"{args.repo.rstrip('/')}-history"
         ingest(
             spark, args.repo, out, load_config(args.config, args.ignore), since=args.since, until=args.until, max_count=args.max_commits,
-            want_units=not args.no_units, want_szz=not args.no_szz, wmc_context=args.wmc_context,
+            want_units=not args.no_units, want_szz=not args.no_szz, wmc_context=args.wmc_context, progress_path=args.progress_file,
         )
     elif args.command == "analyze":
         split = _split(spark, args.folder, args.split_at, args.split_frac)

@@ -37,15 +37,21 @@ def _check_context(out: str, repo: str, wmc_context: str) -> None:
         meta.write_text(json.dumps({"repo_path": repo, "wmc_context": wmc_context}))
 
 
+def _progress(path: str | None, done: int, total: int) -> None:
+    if path:
+        Path(path).write_text(f"{done} {total}\n")
+
+
 def ingest(
     spark: SparkSession, repo: str, out: str, config: Config | None = None, *, since: str | None = None, until: str = "HEAD",
-    max_count: int | None = None, want_units: bool = True, want_szz: bool = True, wmc_context: str = "before",
+    max_count: int | None = None, want_units: bool = True, want_szz: bool = True, wmc_context: str = "before", progress_path: str | None = None,
 ) -> dict[str, DataFrame]:
     """Read a repository's history into Parquet relations under `out` and return them.
 
     What is costly to get, the diffs of each commit and the parsed contents of each blob, is kept in relations of
     its own that a later run only extends: commits and contents already there are left out by anti-joins. All
     other relations are derived from these two and written as a whole, so a run that breaks off leaves no halves.
+    A progress file gets '<done> <total>' commits when the run starts, when their diffs are stored, and at its end.
     """
     config = config or Config()
     _check_context(out, repo, wmc_context)
@@ -55,9 +61,12 @@ def ingest(
 
     seen = _stored(spark, out, "file_diffs")
     todo = log.join(seen.select("sha").distinct(), "sha", "left_anti") if seen is not None else log
+    total = log.count()
+    _progress(progress_path, total - todo.count(), total)
     found = git.file_diffs(todo.repartition(max(1, spark.sparkContext.defaultParallelism), "sha"), repo)
     diffs = _append_new(spark, out, "file_diffs", found)
 
+    _progress(progress_path, total, total)
     path = F.coalesce("new_path", "old_path", F.lit(""))
     source = paths.is_source("path", config.ignore, config.lang_by_ext) & ~F.col("is_binary")
     kept = diffs.withColumn("path", path).where(~F.col("is_binary") & ~paths.is_ignored("path", config.ignore)).join(commits.select("sha", "seq", "ts", "is_fix", "parent"), "sha")

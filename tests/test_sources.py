@@ -88,7 +88,12 @@ def test_ingest_and_reports(spark, repo, tmp_path):
     out = str(tmp_path / "history")
     first = {n: sorted(map(str, d.collect())) for n, d in ingest(spark, repo, out).items()}
     diffs = spark.read.parquet(f"{out}/file_diffs.parquet").count()
-    again = {n: sorted(map(str, d.collect())) for n, d in ingest(spark, repo, out).items()}
+    again = {n: sorted(map(str, d.collect())) for n, d in ingest(spark, repo, out, progress_path=str(tmp_path / "progress")).items()}
+    assert (tmp_path / "progress").read_text() == "6 6\n"
+    state = git.snapshot_state(spark, repo, "HEAD", spark.read.parquet(f"{out}/file_alias.parquet"), spark.read.parquet(f"{out}/blob_cache.parquet"))
+    alias = {r.path: r.file_id for r in spark.read.parquet(f"{out}/file_alias.parquet").collect()}
+    sizes = {r.file_id: (r.size, r.wmc) for r in state.collect()}
+    assert sizes[alias["side.py"]] == (len("def s():\n    return 0\n"), 1.0) and sizes[alias["a.lua"]][0] == 12
     assert first == again and spark.read.parquet(f"{out}/file_diffs.parquet").count() == diffs
     alias = {r.path: r.file_id for r in spark.read.parquet(f"{out}/file_alias.parquet").collect()}
     assert alias["k.py"] == alias["b c.py"] and len(set(alias.values())) == len(alias) - 1
