@@ -104,19 +104,23 @@ def file_features(
     before, after = before_split(split_ts), after_split(split_ts)
     seen = before if strict_split else F.lit(True)
     emails = latest_commits(commits).select("sha", F.nullif("email", F.lit("")).alias("email"))
-    rows = changes.where("file_id is not null").join(emails, "sha", "left")
     named = seen & F.col("lang").isNotNull() & (F.col("lang") != "")
     order = F.concat(F.lpad(F.coalesce("seq", F.lit(0)).cast("string"), 20, "0"), F.lit("|"), F.col("lang"))
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    total = lambda c: F.coalesce(F.sum(F.when(before, c)), F.lit(0)).cast("bigint")
+    early = lambda c: F.coalesce(F.sum(F.when(before, c)), F.lit(0)).cast("bigint")
     fix = F.coalesce(F.col("is_fix"), F.lit(False))
-    sums = rows.groupBy("file_id").agg(
-        F.max_by("lang", F.when(named, order)).alias("lang"),
-        F.coalesce(F.max(F.when(seen, F.coalesce("is_test", F.lit(False)))), F.lit(False)).alias("is_test"),
-        total(number("mutation_cost")).alias("impact_mut"), total(number("mutation_cost") + number("godclass_cost")).alias("impact_comp"), total(lines()).alias("churn"),
-        F.count_distinct(F.when(before, F.col("sha"))).alias("n_commits"), F.count_distinct(F.when(before, F.col("email"))).alias("n_authors"),
+    # one row per file and commit first: a busy file then costs one row a commit, and its commits need no distinct
+    pairs = changes.where("file_id is not null").groupBy("file_id", "sha").agg(
+        F.max(F.when(named, F.struct(order.alias("order"), F.col("lang").alias("lang")))).alias("last"),
+        F.max(F.when(seen, F.coalesce("is_test", F.lit(False)))).alias("is_test"), F.max(before).alias("before"),
+        early(number("mutation_cost")).alias("mut"), early(number("godclass_cost")).alias("god"), early(lines()).alias("churn"),
         F.count_if(fix).alias("fix_all"), F.count_if(fix & after).alias("fix_after"),
     )
+    sums = pairs.join(emails, "sha", "left").groupBy("file_id").agg(
+        F.max("last")["lang"].alias("lang"), F.coalesce(F.max("is_test"), F.lit(False)).alias("is_test"), F.sum("mut").alias("impact_mut"),
+        F.sum(F.col("mut") + F.col("god")).alias("impact_comp"), F.sum("churn").alias("churn"), F.count_if(F.col("before") & F.col("sha").isNotNull()).alias("n_commits"),
+        F.count_distinct(F.when(F.col("before"), F.col("email"))).alias("n_authors"), F.sum("fix_all").alias("fix_all"), F.sum("fix_after").alias("fix_after"),
+    )
     cc_rows = units
     if strict_split and split_ts is not None:
         cc_rows = units.join(latest_commits(commits).where(before).select("sha"), "sha", "left_semi")
