@@ -56,7 +56,7 @@ NOTICES = {
 TRAINING_ROWS = 20_000
 TREES, DEPTH, SEED = 40, 8, 17
 #: Score from which a file without any notice is taken out.
-THRESHOLD = 0.9
+THRESHOLD = 0.95
 
 FEATURES = [
     "compression", "token_entropy", "char_entropy", "mean_token", "max_token", "digits", "depth", "camel",
