@@ -70,20 +70,27 @@ def work_share(body: Column) -> Column:
 
 
 def word_counts(parts: DataFrame, key: str) -> DataFrame:
-    """(key, section, lang, word, n); all rows of a section lie in one partition, after one shuffle."""
+    """(key, section, lang, copy, word, n); all rows of a section lie in one partition, after one shuffle.
+
+    copy is a hash of the section's words in alphabetical order, so that sections that differ in the order of
+    words, case, digits or signs alone are copies of each other.
+    """
     clean = F.regexp_replace(F.lower("body"), NOISE, " ")
-    words = parts.select(key, "section", "lang", F.explode(F.regexp_extract_all(clean, F.lit(WORD), F.lit(0))).alias("word"))
-    return words.repartition(key, "section").groupBy(key, "section", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    worded = parts.select(key, "section", "lang", F.regexp_extract_all(clean, F.lit(WORD), F.lit(0)).alias("words"))
+    copied = worded.withColumn("copy", F.xxhash64(F.sort_array("words")))  # before the explode: once a section
+    words = copied.select(key, "section", "lang", "copy", F.explode("words").alias("word"))
+    return words.repartition(key, "section").groupBy(key, "section", "lang", "copy", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def language_models(counts: DataFrame) -> tuple[DataFrame, list[str]]:
     """(word, p, q) and the languages: log-probabilities of a word in each of them, with and without one section.
 
     A word's probability is in how many sections of a language it occurs, as a share of the sum of these numbers,
-    so a page that repeats itself does not shape its own yardstick. Declared languages are used, of which 'und'
-    is none.
+    so a page that repeats itself does not shape its own yardstick. Copies of a section count once, so that a page
+    stored many times does not shape it either: leaving out one leaves out all of them. Declared languages are
+    used, of which 'und' is none.
     """
-    named = counts.where("lang is not null and lang not in ('', 'und')")
+    named = counts.where("lang is not null and lang not in ('', 'und')").select("lang", "word", "copy").distinct()
     totals = named.groupBy("lang").agg(F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
     langs = [r.lang for r in totals.collect()]
     shares = named.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(totals), "lang").where(F.col("c") >= F.col("total") * WORD_SHARE)
@@ -111,12 +118,12 @@ def section_curves(counts: DataFrame, models: DataFrame, langs: list[str], key:
         return F.sum(F.col("n") * F.coalesce(value, F.lit(UNKNOWN)))
 
     curves = ranked.groupBy(key, "section").agg(
-        F.sum("n").alias("words"), F.count(F.lit(1)).alias("types"), F.regr_slope(y, x).alias("slope"),
+        F.first("copy").alias("copy"), F.sum("n").alias("words"), F.count(F.lit(1)).alias("types"), F.regr_slope(y, x).alias("slope"),
         F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), *[fit(i, lang).alias(f"fit_{i}") for i, lang in enumerate(langs)],
     )
     best = F.array_max(F.array(*[F.struct(F.col(f"fit_{i}").alias("fit"), F.lit(lang).alias("lang")) for i, lang in enumerate(langs)]))
     return curves.withColumn("best", best).select(
-        key, "section", "words", F.coalesce("slope", F.lit(0.0)).alias("slope"),
+        key, "section", "copy", "words", F.coalesce("slope", F.lit(0.0)).alias("slope"),
         F.sqrt(F.greatest(F.coalesce(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)), F.lit(0.0)) / F.col("types")).alias("residual"),
         F.col("best.lang").alias("language"), (-F.col("best.fit") / F.col("words")).alias("divergence"),
     )
@@ -136,11 +143,12 @@ def deviations(scored: DataFrame) -> DataFrame:
 
     Lengths are compared by powers of two; a length with less than LEAST_PROSE sections is measured by all of its
     language. Yardsticks come from sections that fit the language they are declared in and are no list of the
-    work; there are at most ten for each of the LANGUAGES, so they are broadcast.
+    work, copies counted once; there are at most ten for each of the LANGUAGES, so they are broadcast.
     """
     measures = ["slope", "residual", "divergence"]
     bins = scored.withColumn("bin", F.least(F.floor(F.log2(F.col("words").cast("double"))), F.lit(9)))
-    prose = bins.where("work < 0.5 and lang = language")
+    once = ["language", "bin", "copy"]
+    prose = bins.where("work < 0.5 and lang = language").groupBy(*once).agg(F.min(F.struct(*measures)).alias("m")).select(*once, "m.*")
     near = _yardsticks(prose, ["language", "bin"], measures).where(F.col("many") >= LEAST_PROSE).drop("many")
     wide = _yardsticks(prose, ["language"], measures).drop("many").withColumnsRenamed({f"{k}_{m}": f"all_{k}_{m}" for m in measures for k in ("mid", "dev")})
     joined = bins.join(F.broadcast(near), ["language", "bin"], "left").join(F.broadcast(wide), "language", "left")

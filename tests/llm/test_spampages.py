@@ -64,3 +64,22 @@ def test_empty(spark):
     assert s.spam_pages(none).collect() == []
     assert s.spam_pages(spark.createDataFrame([(1, None, None), (2, "", "en")], none.schema)).collect() == []
     assert s.spam_pages(spark.createDataFrame([(1, "a b c " * 20, None)], none.schema)).collect() == []
+
+
+def test_copies_teach_nothing(spark):
+    """A spam page stored 3,000 times, with other digits, case and order, is as far from prose as one stored once."""
+    rng = random.Random(5)
+    page = [f"{a} {b} {rng.choice(WARES)}" for a in WARES for b in ("sale", "online", "bargain", "deal")]
+    copies = []
+    for i in range(3000):
+        rng.shuffle(page)
+        copies.append((5000 + i, ", ".join(x.upper() if i % 2 else x for x in page) + f" {i}", "en"))
+    got = s.spam_pages(frame(spark, copies))
+    assert {r.doc_id for r in got.collect()} == {r[0] for r in copies}
+
+
+def test_copies_count_once(spark):
+    rows = [(1, "a b c", "en"), (2, "B a, c 7", "en"), (3, "a d", "en"), (4, "a b c", "de")]
+    models, langs = s.language_models(s.word_counts(s.sections(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")), "doc_id"))
+    p = {r.word: round(2.718281828459045 ** r.p[langs.index("en")], 6) for r in models.collect()}
+    assert p == {"a": 0.4, "b": 0.2, "c": 0.2, "d": 0.2}
