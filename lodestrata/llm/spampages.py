@@ -34,8 +34,12 @@ UNKNOWN = -11.5
 LEAST_WORDS = 12
 #: Robust deviations from prose of the language and length: of divergence alone; of divergence where the curve is steep; of the slope.
 FAR, RATHER_FAR, STEEP = 11.0, 8.0, -3.0
+#: Such deviations of the curve alone: of a slope flatter and steeper than any prose, and of the residual.
+FLATTEST, STEEPEST, UNEVEN = 4.5, -8.0, 6.0
 #: Sections of a language and length that make a yardstick.
 LEAST_PROSE = 30
+#: The greatest power of two in a number of words, as an array has at most 2 ** 31 entries.
+TOP_BIN = 31
 #: The least spread that such a deviation is measured in.
 LEAST_SPREAD = 0.12
 
@@ -138,22 +142,52 @@ def _yardsticks(prose: DataFrame, by: list[str], measures: list[str]) -> DataFra
     return middle.join(spread, by)
 
 
+def _all_lengths(near: DataFrame, measures: list[str]) -> DataFrame:
+    """The yardsticks `near` of (language, bin) for every bin: a bin without one takes the nearest shorter, else longer.
+
+    trend_<measure> is the median itself where there is a yardstick, and elsewhere on the line through the medians
+    of the language.
+    """
+    lines = near.groupBy("language").agg(*[f(m, "bin").alias(f"{k}_{m}") for m in measures for k, f in (("at", _intercept), ("by", _slope))])
+    grid = lines.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(TOP_BIN)).cast("array<bigint>"))).join(near.withColumn("own", F.lit(True)), ["language", "bin"], "left")
+    order = Window.partitionBy("language").orderBy("bin")
+    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    fill = lambda c: F.coalesce(F.last(c, True).over(order), F.first(c, True).over(after)).alias(c)
+    line = lambda m: F.coalesce(F.when(F.col("own"), F.col(f"mid_{m}")).otherwise(F.col(f"at_{m}") + F.col(f"by_{m}") * F.col("bin")), fill(f"mid_{m}"))
+    return grid.select("language", "bin", *[fill(f"{k}_{m}") for m in measures for k in ("mid", "dev")], *[line(m).alias(f"trend_{m}") for m in measures])
+
+
+def _slope(m: str, by: str) -> Column:
+    return F.regr_slope(F.col(f"mid_{m}"), F.col(by).cast("double"))
+
+
+def _intercept(m: str, by: str) -> Column:
+    return F.regr_intercept(F.col(f"mid_{m}"), F.col(by).cast("double"))
+
+
 def deviations(scored: DataFrame) -> DataFrame:
     """Adds z_<measure>: how far a section lies from the median of its language and length, in robust spreads.
 
-    Lengths are compared by powers of two; a length with less than LEAST_PROSE sections is measured by all of its
-    language. Yardsticks come from sections that fit the language they are declared in and are no list of the
-    work, copies counted once; there are at most ten for each of the LANGUAGES, so they are broadcast.
+    Lengths are compared by powers of two. A length with less than LEAST_PROSE sections is measured by the nearest
+    length that has them and by the line through the medians of all that have, whichever is nearer (0 between
+    the two); a language without any such length is measured by all of its sections. Yardsticks come from sections
+    that fit the language they are declared in and are no list of the work, copies counted once; there are at most
+    TOP_BIN + 1 for each of the LANGUAGES, so they are broadcast.
     """
     measures = ["slope", "residual", "divergence"]
-    bins = scored.withColumn("bin", F.least(F.floor(F.log2(F.col("words").cast("double"))), F.lit(9)))
+    bins = scored.withColumn("bin", F.floor(F.log2(F.col("words").cast("double"))))
     once = ["language", "bin", "copy"]
     prose = bins.where("work < 0.5 and lang = language").groupBy(*once).agg(F.min(F.struct(*measures)).alias("m")).select(*once, "m.*")
-    near = _yardsticks(prose, ["language", "bin"], measures).where(F.col("many") >= LEAST_PROSE).drop("many")
+    near = _all_lengths(_yardsticks(prose, ["language", "bin"], measures).where(F.col("many") >= LEAST_PROSE).drop("many"), measures)
     wide = _yardsticks(prose, ["language"], measures).drop("many").withColumnsRenamed({f"{k}_{m}": f"all_{k}_{m}" for m in measures for k in ("mid", "dev")})
     joined = bins.join(F.broadcast(near), ["language", "bin"], "left").join(F.broadcast(wide), "language", "left")
     pick = lambda k, m: F.coalesce(f"{k}_{m}", f"all_{k}_{m}")
-    return joined.select(*bins.columns, *[((F.col(m) - pick("mid", m)) / pick("dev", m)).alias(f"z_{m}") for m in measures])
+
+    def off(m: str) -> Column:
+        a, b = F.col(m) - pick("mid", m), F.col(m) - F.coalesce(f"trend_{m}", f"all_mid_{m}")
+        return F.when(a * b <= 0, F.lit(0.0)).otherwise(F.signum(a) * F.least(F.abs(a), F.abs(b))) / pick("dev", m)
+
+    return joined.select(*bins.columns, *[off(m).alias(f"z_{m}") for m in measures])
 
 
 def section_shapes(documents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -173,8 +207,10 @@ def score_sections(documents: DataFrame, key: str = "doc_id", shapes: DataFrame
 
 
 def spam_sections(scored: DataFrame) -> Column:
-    """Whether a section is keywords or links: far from prose, or rather far with a curve much steeper than prose has."""
-    odd = (F.col("z_divergence") >= FAR) | ((F.col("z_divergence") >= RATHER_FAR) & (F.col("z_slope") <= STEEP))
+    """Whether a section is keywords or links: far from prose by its words, by the slope or residual of its curve, or rather
+    far by its words with a curve much steeper than prose has."""
+    curve = (F.col("z_slope") >= FLATTEST) | (F.col("z_slope") <= STEEPEST) | (F.col("z_residual") >= UNEVEN)
+    odd = curve | (F.col("z_divergence") >= FAR) | ((F.col("z_divergence") >= RATHER_FAR) & (F.col("z_slope") <= STEEP))
     return F.coalesce(odd & (F.col("work") < 0.5), F.lit(False))
 
 

@@ -83,3 +83,12 @@ def test_copies_count_once(spark):
     models, langs = s.language_models(s.word_counts(s.sections(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")), "doc_id"))
     p = {r.word: round(2.718281828459045 ** r.p[langs.index("en")], 6) for r in models.collect()}
     assert p == {"a": 0.4, "b": 0.2, "c": 0.2, "d": 0.2}
+
+
+def test_curves_alone_are_found(spark):
+    """Words of the language in no sentences: equal repeats are too flat, one word again and again too steep."""
+    rng = random.Random(8)
+    flat = "the file is slow " * 75
+    steep = " ".join(["first"] * 150 + ["release"] * 30 + ["the"] * 6)
+    rows = [(7000, flat, "en"), (7001, steep, "en"), (7002, prose(rng, 2000), "en"), (7003, prose(rng, 40), "en")]
+    assert {r.doc_id for r in s.spam_pages(frame(spark, rows)).collect()} == {7000, 7001}
