@@ -30,6 +30,8 @@ SOUNDEX = {c: d for d, cs in {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l",
 SIMILAR = 0.85
 #: A token with so many partners is an established name rather than a slip.
 ESTABLISHED = 5
+#: However many it has, a token with at most this share of another's partners may be a slip of that one.
+SLIP_SHARE = 0.2
 #: A short form is learned when it stands for the same name under the mailboxes of so many people.
 LEARNED_FROM = 3
 #: A mailbox used under so many last names that differ at their beginning, and given names too, is shared.
@@ -202,7 +204,8 @@ def _compare(pairs: DataFrame) -> DataFrame:
     """Accepted pairs of names that share one token, whole or as short form: the other is one slip away.
 
     Given names may also be short forms that no table has: they agree in their first three letters. Two
-    established names are never taken for one.
+    established names are never taken for one, unless one is in no table and has at most SLIP_SHARE of the partners
+    of the other: slips become more with the people, but not their share.
     """
 
     @F.pandas_udf("boolean")
@@ -212,7 +215,8 @@ def _compare(pairs: DataFrame) -> DataFrame:
             for x, y, k, g in zip(a, b, known, given, strict=True)
         ])
 
-    known = F.col("x_known") & F.col("y_known")
+    slip = lambda x, y: ~F.col(f"{x}_listed") & (F.col(f"{x}_many") <= F.col(f"{y}_many") * SLIP_SHARE)
+    known = (F.col("x_listed") | (F.col("x_many") >= ESTABLISHED)) & (F.col("y_listed") | (F.col("y_many") >= ESTABLISHED)) & ~slip("x", "y") & ~slip("y", "x")
     given = F.col("x_given") & F.col("y_given")
     return pairs.where(alike("x", "y", known, given)).select("a", "b")
 
@@ -261,7 +265,8 @@ def name_links(names: DataFrame, forms: DataFrame) -> DataFrame:
     of the other: the codes of sorted tokens, with the more telling one exact. Distinct names are compared, not
     signatures or rows, so a block holds the few different spellings that agree in a whole token and sound alike.
     """
-    known = _known(names, forms).withColumn("known", F.lit(True))
+    listed = forms.select(F.col("name").alias("token"), F.lit(True).alias("listed")).distinct()
+    standing = _partners(names).join(listed, "token", "left")
     codes = F.udf(_codes, "array<string>")
     whole = names.join(forms, F.col("first") == F.col("short"), "left").groupBy("node", "first", "last").agg(F.collect_set("name").alias("long"))
     given, family = F.lit(True).alias("given"), F.lit(False).alias("given")
@@ -269,13 +274,13 @@ def name_links(names: DataFrame, forms: DataFrame) -> DataFrame:
     by_last = names.select("node", F.col("last").alias("exact"), F.col("first").alias("word"), given)
     entries = (
         by_first.unionByName(by_last).distinct()
-        .join(known, F.col("word") == F.col("token"), "left").drop("token")
-        .withColumn("known", F.coalesce("known", F.lit(False)))
+        .join(standing, F.col("word") == F.col("token"), "left").drop("token")
+        .withColumns({"many": F.coalesce("n", F.lit(0)), "listed": F.coalesce("listed", F.lit(False))}).drop("n")
         .withColumn("code", F.explode(codes("word")))
         .distinct()
     )
-    left = entries.select("exact", "code", F.col("node").alias("a"), F.col("word").alias("x"), F.col("known").alias("x_known"), F.col("given").alias("x_given"))
-    right = entries.select("exact", "code", F.col("node").alias("b"), F.col("word").alias("y"), F.col("known").alias("y_known"), F.col("given").alias("y_given"))
+    left = entries.select("exact", "code", F.col("node").alias("a"), F.col("word").alias("x"), F.col("many").alias("x_many"), F.col("listed").alias("x_listed"), F.col("given").alias("x_given"))
+    right = entries.select("exact", "code", F.col("node").alias("b"), F.col("word").alias("y"), F.col("many").alias("y_many"), F.col("listed").alias("y_listed"), F.col("given").alias("y_given"))
     pairs = left.join(right, ["exact", "code"]).where("a < b").drop("exact", "code").distinct()
     return _compare(pairs).distinct()
 

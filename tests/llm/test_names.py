@@ -76,3 +76,13 @@ def test_slips_and_codes():
     assert all(n.one_slip(*p) for p in [("abc", "abc"), ("abc", "acb"), ("abc", "abbc"), ("abc", "ab"), ("abc", "axc")])
     assert not any(n.one_slip(*p) for p in [("abc", "cba"), ("abc", "abcde"), ("abcd", "badc")])
     assert n.soundex("robert") == "r163" and n.soundex("rupert") == "r163" and n.soundex("tymczak") == "t522"
+
+
+def test_slips_stay_slips_among_many_people(spark):
+    """A misspelt given name beside 8 last names, of 64 that the right one has, links; two common names do not."""
+    lasts = [a + b for a in ("brack", "dunmo", "fitzel", "gorsu", "hempi", "kelvo", "pindar", "tramle") for b in ("wold", "sey", "thwick", "queth", "burn", "nax", "lomi", "juvra")]
+    people = {x: [(f"Harold {x}", None)] for x in lasts} | {f"m{x}": [(f"Jorun {x}", None)] for x in lasts[:20]} | {f"n{x}": [(f"Joran {x}", None)] for x in lasts[:20]}
+    for x in lasts[::8]:
+        people[x].append((f"Harlod {x}", None))
+    got = {(r.sig_a, r.sig_b) for r in n.signature_pairs(link(spark, people)).collect()}
+    assert got == {tuple(sorted((sig(f"Harold {x}", None), sig(f"Harlod {x}", None)))) for x in lasts[::8]}
