@@ -52,16 +52,21 @@ NOTICES = {
         r"(?i)(^|/)bindata(_\w+)?\.\w+$",
     ],
 }
-#: At most so many labelled files of either kind train the forest; all files are scored.
+#: About so many labelled files of either kind and fold train a forest; all files are counted and scored.
 TRAINING_ROWS = 20_000
-TREES, DEPTH, SEED = 40, 8, 17
-#: Score from which a file without any notice is taken out.
-THRESHOLD = 0.95
+FOLDS = 3
+TREES, DEPTH, SEED = 40, 10, 17
+#: A word with a larger share of a fold's files is joined by broadcast; as a path has some twenty grams, there are few.
+COMMON = 1e-3
 
+#: The parts of a path in which words are counted apart.
+PARTS = {"d": "directory", "f": "name", "e": "extension"}
 FEATURES = [
-    "compression", "token_entropy", "char_entropy", "mean_token", "max_token", "digits", "depth", "camel",
-    "log_added", "log_largest", "log_removed", "functions", "functions_per_line", "token_rate", "token_peak", "is_test",
+    *[f"{part}_{kind}" for part in PARTS.values() for kind in ("most", "mean", "least")], "pair_most", "pair_mean", "pair_least", "odds",
+    "compression", "token_entropy", "mean_token", "max_token", "tokens",
+    "log_added", "log_largest", "log_removed", "functions", "functions_per_line", "log_changes", "is_test",
 ]
+_STATS = FEATURES[-7:]
 
 
 def normal_path(path: str | Column) -> Column:
@@ -78,12 +83,8 @@ def notice_kind(path: Column) -> Column:
     return kind
 
 
-def hide_notices(path: Column) -> Column:
-    """The path without its notices, so that no feature sees what made the label."""
-    for patterns in NOTICES.values():
-        for p in patterns:
-            path = F.regexp_replace(path, p, "/")
-    return path
+_NOTICE = [re.compile(p) for patterns in NOTICES.values() for p in patterns]
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_a-zA-Z]+")
 
 
 def _entropy(items) -> float:
@@ -92,22 +93,45 @@ def _entropy(items) -> float:
     return -sum(c / total * math.log2(c / total) for c in n.values()) if total else 0.0
 
 
-def text_features(path: str) -> tuple[float, ...]:
-    tokens = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", path)
-    raw = path.encode()
-    lengths = [len(t) for t in tokens] or [0]
-    return (
-        len(zlib.compress(raw, 6)) / max(1, len(raw)), _entropy(t.lower() for t in tokens), _entropy(path), sum(lengths) / len(lengths),
-        max(lengths), sum(c.isdigit() for c in path) / max(1, len(path)), path.count("/"), sum(c.isupper() for c in path) / max(1, len(path)),
-    )
-
-
-_TEXT = FEATURES[:8]
-
+def grams(path: str, hidden: bool) -> list[str]:
+    """The words of a path, marked with its part, and their neighbours in pairs; with `hidden` nothing that a notice covers.
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in _TEXT]))
-def _text(path: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_features(p) for p in path], columns=_TEXT, dtype="float64")
+    The extension is always kept, whether or not a notice reaches into it, so that its absence tells nothing.
+    """
+    slash, dot = path.rfind("/"), path.rfind(".")
+    spans = [m.span() for r in _NOTICE for m in r.finditer(path)] if hidden else []
+    found, before = {}, None
+    for m in _WORD.finditer(path):
+        part = "d" if m.start() < slash else "e" if slash < dot < m.start() else "f"
+        word = None if part != "e" and any(a < m.end() and m.start() < b for a, b in spans) else f"{part}:{m.group().lower()}"
+        if word:
+            found[word] = None
+            if before:
+                found[f"{before}>{word}"] = None
+        before = word
+    return list(found)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _grams(path: pd.Series, hidden: pd.Series) -> pd.Series:
+    return pd.Series([grams(p, h) for p, h in zip(path, hidden, strict=True)])
+
+
+def word_features(rates: dict[str, float], base: float) -> list[float]:
+    """FEATURES but _STATS, from the share of notices among other files with each gram; grams that no other file has are not in `rates`."""
+    single = sorted(g for g in rates if ">" not in g)
+    sets = [[rates[g] for g in single if g[0] == part] for part in PARTS] + [[v for g, v in rates.items() if ">" in g]]
+    out = [x for values in sets for x in ((max(values), sum(values) / len(values), min(values)) if values else (base,) * 3)]
+    words = [g[2:] for g in single]
+    raw = "/".join(words).encode()
+    lengths = [len(w) for w in words] or [0]
+    odds = sum(math.log(v / (1 - v)) for v in rates.values())
+    return [*out, odds, len(zlib.compress(raw, 6)) / max(1, len(raw)), _entropy(words), sum(lengths) / len(lengths), max(lengths), len(words)]
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _word_features(gram: pd.Series, rate: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([word_features(dict(zip(g, r, strict=True)), b) for g, r, b in zip(gram, rate, base, strict=True)])
 
 
 def stored_paths(changes: DataFrame) -> DataFrame:
@@ -117,75 +141,124 @@ def stored_paths(changes: DataFrame) -> DataFrame:
     fns = F.coalesce("mut_fns", F.lit(0)).cast("bigint") + F.coalesce("new_fns", F.lit(0))
     return (
         changes.where(F.col("path").isNotNull() & (F.btrim("path", F.lit(" \t\r\n")) != "")).groupBy("path")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(lines).alias("added"), F.max(lines).alias("largest"), F.sum(gone).alias("removed"), F.sum(fns).alias("fns"), F.max(F.coalesce("is_test", F.lit(False)).cast("int")).alias("is_test"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum(lines).alias("added"), F.max(lines).alias("largest"), F.sum(gone).alias("removed"), F.sum(fns).alias("fns"),
+            F.max(F.coalesce("is_test", F.lit(False)).cast("int")).alias("is_test"), F.max(F.lower(F.btrim("lang", F.lit(" ")))).alias("lang"),
+        )
         .withColumn("file", normal_path("path"))
     )
 
 
-def file_features(stored: DataFrame) -> DataFrame:
-    """(file, kind, label, FEATURES) per file, whatever the number of stored forms of its path.
+def labelled_files(stored: DataFrame) -> DataFrame:
+    """(file, fold, label, gram, shown, _STATS) per file, whatever the number of stored forms of its path.
 
-    label is 1 with a notice, else 0. Compression ratio, entropies and
-    token lengths are those of the path without its notices, as this history holds no file contents; functions
-    per changed line stand in for the density of comments. token_rate and token_peak say how often the other
-    files with a token of this path carry a notice (mean and largest over its tokens), the file itself left out.
+    label is 1 with a notice, else 0; gram has the words of the path and its language, shown those that no notice covers.
     """
     files = (
         stored.groupBy("file")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "added", "removed", "fns")], F.max("largest").alias("largest"), F.max("is_test").cast("double").alias("is_test"))
-        .withColumn("kind", notice_kind(F.col("file")))
-        .withColumn("hidden", hide_notices(F.col("file")))
+        .agg(*[F.sum(c).alias(c) for c in ("n", "added", "removed", "fns")], *[F.max(c).alias(c) for c in ("largest", "is_test", "lang")])
+        .withColumn("label", notice_kind(F.col("file")).isNotNull())
     )
-    files = cut(files.withColumn("label", F.col("kind").isNotNull().cast("double")))
-    words = F.array_distinct(F.transform(F.filter(F.split("hidden", r"[/.]+|(?<=[a-z])(?=[A-Z])|[_~@-]+"), lambda t: F.length(t) > 1), lambda t: F.lower(t)))
-    tokens = files.select("file", "label", F.explode(words).alias("token"))
-    seen = tokens.groupBy("token").agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("all"))
-    rate = (F.col("yes") - F.col("label") + 0.2) / F.col("all")
-    rates = tokens.join(seen, "token").groupBy("file").agg(F.avg(rate).alias("token_rate"), F.max(rate).alias("token_peak"))
-    return (
-        files.join(rates, "file", "left").fillna({"token_rate": 0.2, "token_peak": 0.2})
-        .withColumn("t", _text("hidden"))
-        .select(
-            "file", "kind", "label", "t.*", F.log1p(F.col("added") / F.col("n")).alias("log_added"), F.log1p(F.col("largest").cast("double")).alias("log_largest"),
-            F.log1p(F.col("removed") / F.col("n")).alias("log_removed"), (F.col("fns") / F.col("n")).alias("functions"),
-            (F.col("fns") / (F.col("added") + F.col("removed") + 1)).alias("functions_per_line"), "token_rate", "token_peak", "is_test",
-        )
+    spoken = F.when(F.col("lang") != "", F.array(F.concat(F.lit("l:"), "lang"))).otherwise(F.array().cast("array<string>"))
+    return files.select(
+        "file", F.pmod(F.xxhash64("file"), F.lit(FOLDS)).cast("int").alias("fold"), F.col("label").cast("double").alias("label"),
+        F.concat(_grams("file", F.lit(False)), spoken).alias("gram"), F.when(F.col("label"), F.concat(_grams("file", F.lit(True)), spoken)).alias("shown"),
+        F.log1p(F.col("added") / F.col("n")).alias("log_added"), F.log1p(F.col("largest").cast("double")).alias("log_largest"),
+        F.log1p(F.col("removed") / F.col("n")).alias("log_removed"), (F.col("fns") / F.col("n")).alias("functions"),
+        (F.col("fns") / (F.col("added") + F.col("removed") + 1)).alias("functions_per_line"), F.log1p(F.col("n").cast("double")).alias("log_changes"),
+        F.col("is_test").cast("double").alias("is_test"),
     )
 
 
-def train_forest(features: DataFrame, rows: int = TRAINING_ROWS) -> RandomForestClassificationModel | None:
-    """A forest that tells files with a notice from those without; None if there are not both.
+def file_features(files: DataFrame, sizes: dict[tuple[int, float], int], rows: int = TRAINING_ROWS) -> DataFrame:
+    """(file, fold, label, fitting, base, FEATURES): each file as it is scored, and the drawn ones as they are learned from (`fitting`).
 
-    It is fitted on at most `rows` files of each label, drawn by a hash of the path. Both labels count alike.
+    A gram's rate is the share of files with a notice among those of one other fold, for which it is counted
+    only where no notice covers it; so a word that is always part of a notice has no rate, in no row. A file to
+    score takes the rates of the next fold and is scored by the forest of the fold after; a file to learn from takes
+    those of the fold before it. Nothing that decides on a file has seen its label, and no path is searched for
+    notices to score it. `sizes` has the number of files by fold and label.
     """
-    parts = [features.where(F.col("label") == v).orderBy(F.xxhash64("file"), "file").limit(rows) for v in (0.0, 1.0)]
-    sample = cut(parts[0].unionByName(parts[1]).select("label", *FEATURES))
+    totals = {k: max(1, sum(sizes.get((k, v), 0) for v in (0.0, 1.0))) for k in range(FOLDS)}
+    bases = {k: (sizes.get((k, 1.0), 0) + 0.5) / (totals[k] + 1) for k in range(FOLDS)}
+    by_fold = lambda values, fold: F.element_at(F.array(*[F.lit(values[k]) for k in range(FOLDS)]), fold + 1)
+    seen = (
+        files.select("fold", "label", F.explode(F.coalesce("shown", "gram")).alias("gram")).groupBy(F.col("fold").alias("of"), "gram")
+        .agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("all"))
+    )
+    rates = cut(seen.select("of", "gram", ((F.col("yes") + by_fold(bases, F.col("of")) * 2) / (F.col("all") + 2)).alias("rate"), (F.col("all") > by_fold(totals, F.col("of")) * COMMON).alias("common")))
+    share = {key: min(1.0, rows / n) for key, n in sizes.items() if n}
+    drawn = F.lit(False)
+    for (fold, label), part in share.items():
+        drawn = drawn | ((F.col("fold") == fold) & (F.col("label") == label) & (F.pmod(F.xxhash64(F.lit(SEED), "file"), F.lit(1 << 20)) < int(part * (1 << 20))))
+    use = lambda df, fitting, step, gram: df.select("file", F.lit(fitting).alias("fitting"), F.pmod(F.col("fold") + step, F.lit(FOLDS)).alias("of"), F.explode(gram).alias("gram"))
+    tokens = use(files, False, 1, F.col("gram")).unionByName(use(files.where(drawn), True, 2, F.coalesce("shown", "gram")))
+    common = tokens.join(F.broadcast(rates.where("common").select("of", "gram", "rate")), ["of", "gram"], "left")
+    rare = rates.where("not common").select("of", "gram", F.col("rate").alias("rare"))
+    rated = common.where("rate is not null").select("file", "fitting", "gram", "rate").unionByName(
+        common.where("rate is null").join(rare, ["of", "gram"]).select("file", "fitting", "gram", F.col("rare").alias("rate"))
+    )
+    lists = rated.groupBy("file", "fitting").agg(F.collect_list(F.struct("gram", "rate")).alias("rated"))
+    known = files.select("file", "fold", "label", *_STATS, F.lit(False).alias("fitting")).unionByName(files.where(drawn).select("file", "fold", "label", *_STATS, F.lit(True).alias("fitting")))
+    listed = lambda c, kind: F.coalesce(F.col("rated")[c], F.array().cast(kind))
+    base = by_fold(bases, F.pmod(F.col("fold") + F.when(F.col("fitting"), 2).otherwise(1), F.lit(FOLDS)))
+    wide = known.join(lists, ["file", "fitting"], "left").withColumn("w", _word_features(listed("gram", "array<string>"), listed("rate", "array<double>"), base))
+    words = [F.col("w")[i].alias(c) for i, c in enumerate(FEATURES[: -len(_STATS)])]
+    return wide.select("file", "fold", "label", "fitting", *words, *_STATS)
+
+
+def train_forest(sample: DataFrame, sizes: dict[float, int]) -> RandomForestClassificationModel | None:
+    """A forest that tells files with a notice from those without; None if there are not both. Labels weigh by `sizes`, their numbers in all files."""
     n = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return None
-    weighted = sample.withColumn("weight", F.when(F.col("label") == 1.0, 0.5 / n[1.0]).otherwise(0.5 / n[0.0]) * sum(n.values()))
+    weight = F.when(F.col("label") == 1.0, sizes[1.0] / n[1.0]).otherwise(sizes[0.0] / n[0.0])
     forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(weighted))
-
+    return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample.withColumn("weight", weight)))
 
-def score_files(features: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """The features with `score`, the forest's share of votes for a file not written by hand."""
-    if model is None:
-        return features.withColumn("score", F.lit(0.0))
-    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features))
-    return scored.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
-
-def unwritten_files(changes: DataFrame, rows: int = TRAINING_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, kind, score) of the stored paths of files that nobody wrote by hand.
-
-    A file's notice is its label; the forest, which sees no notice, labels the files that have none ('forest' as
-    kind) and is what a notice's label is checked against in the tests. Null and blank paths are left out, repeated
-    rows only weigh more in the averages, each stored form of a path gives one row. An empty table, or one in
-    which only one label occurs, has no forest and is judged by notices alone.
-    """
+def score_files(changes: DataFrame, rows: int = TRAINING_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The stored paths, and (file, label, score) of each file: the votes, for a file not written by hand, of a forest that never saw its label."""
     stored = cut(stored_paths(changes))
-    features = cut(file_features(stored))
-    scored = score_files(features, train_forest(features, rows))
-    found = scored.where(F.col("kind").isNotNull() | (F.col("score") >= threshold))
-    return stored.select("path", "file").join(found.select("file", F.coalesce("kind", F.lit("forest")).alias("kind"), "score"), "file").drop("file")
+    files = cut(labelled_files(stored))
+    sizes = {(r.fold, r.label): r.n for r in files.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    features = cut(file_features(files, sizes, rows))
+    scored = None
+    for k in range(FOLDS):
+        learned = (k + 2) % FOLDS
+        model = train_forest(features.where(F.col("fitting") & (F.col("fold") == learned)), {v: sizes.get((learned, v), 0) for v in (0.0, 1.0)})
+        mine = features.where(~F.col("fitting") & (F.col("fold") == k))
+        if model is None:
+            part = mine.select("file", "label", F.lit(0.0).alias("score"))
+        else:
+            votes = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(mine))
+            part = votes.select("file", "label", vector_to_array("probability")[1].alias("score"))
+        scored = part if scored is None else scored.unionByName(part)
+    return stored, cut(scored)
+
+
+def best_threshold(scored: DataFrame) -> float:
+    """The score, in hundredths, above which files agree best with the notices (largest F1; of equals the highest); 1 if none does."""
+    steps = scored.groupBy(F.floor(F.col("score") * 100).cast("int").alias("step")).agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("all")).collect()
+    total = sum(r.yes for r in steps)
+    best, at, yes, found = 0.0, 1.0, 0.0, 0
+    for r in sorted(steps, key=lambda r: -r.step):
+        yes, found = yes + r.yes, found + r["all"]
+        f1 = 2 * yes / (total + found)
+        if r.step > 0 and f1 > best:
+            best, at = f1, r.step / 100
+    return at
+
+
+def unwritten_files(changes: DataFrame, rows: int = TRAINING_ROWS, threshold: float | None = None) -> DataFrame:
+    """(path, score) of the stored paths of files that nobody wrote by hand, as the forest's score alone decides.
+
+    Notices in paths are labels to learn from and nothing else: a file without one is found if its other traits
+    are those of files that have one, and a file with one is left if they are not. Scores are held out
+    (`file_features`), and so is `threshold`, where none is given (`best_threshold`). Null and blank paths are left
+    out, repeated rows only weigh more in the averages, each stored form of a path gives one row. An empty table, or
+    one with only one label in a fold, has no forest to score by and gives no rows (of that fold).
+    """
+    stored, scored = score_files(changes, rows)
+    at = best_threshold(scored) if threshold is None else threshold
+    return stored.select("path", "file").join(scored.where(F.col("score") >= at).select("file", "score"), "file").drop("file")

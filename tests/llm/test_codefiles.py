@@ -17,37 +17,70 @@ def fill(patterns):
     return [p.format(a, b) for p in patterns for a in WORDS for b in WORDS]
 
 
+def changes_of(spark):
+    return frame(spark, fill(MADE), True).unionByName(frame(spark, fill(HAND)))
+
+
 def test_notices(spark):
     df = spark.createDataFrame([(p, 1) for p in fill(MADE)] + [(p, 0) for p in fill(HAND)], "file string, want int")
     wrong = df.withColumn("kind", c.notice_kind(F.col("file"))).where("(kind is not null) <> (want = 1)").collect()
     assert wrong == []
-    hidden = df.where("want = 1").select(c.hide_notices(F.col("file")).alias("h")).where(c.notice_kind(F.col("h")).isNotNull())
-    assert hidden.collect() == []
 
 
-def test_forest_agrees_with_hidden_labels(spark):
-    """Held out: half of the files have no part in the fit, and the forest never sees a notice."""
-    changes = frame(spark, fill(MADE), True).unionByName(frame(spark, fill(HAND)))
-    features = c.file_features(c.stored_paths(changes))
-    part = F.pmod(F.xxhash64("file"), F.lit(2)) == 0
-    scored = c.score_files(features.where(~part), c.train_forest(features.where(part)))
+def test_notices_are_hidden():
+    assert c.grams("a/third_party/kit-1.2.3/x.c", True) == ["d:a", "f:x", "e:c", "f:x>e:c"]
+    assert c.grams("api/order.pb.go", True) == ["d:api", "f:order", "d:api>f:order", "e:go"]
+    assert c.grams("x_pb2.py", True) == ["f:x", "e:py"]
+    assert "d:third" in c.grams("a/third_party/kit-1.2.3/x.c", False)
+    assert c.grams("", True) == c.grams("/", False) == []
+
+
+def test_forest_decides_held_out(spark):
+    """Each file is scored without its own label, from features that see no notice."""
+    _, scored = c.score_files(changes_of(spark))
+    at = c.best_threshold(scored)
+    found = F.col("score") >= at
+    r = scored.agg(F.count_if(found & (F.col("label") == 1)).alias("both"), F.count_if(found).alias("found"), F.sum("label").alias("true")).first()
+    assert r.both / r.true > 0.9 and r.both / r.found > 0.9
+
+
+def test_no_notice_is_read_to_score(spark, monkeypatch):
+    """A file is found by its traits: one that no notice covers, among files that look like it."""
+    twin = "pkg/mocks/plain_alpha.go"  # made like pkg/mocks/mock_*.go, without the notice
+    assert not any(p.search(twin) for p in c._NOTICE)
+    rows = changes_of(spark).unionByName(frame(spark, [twin], True))
+    assert twin in {r.path for r in c.unwritten_files(rows).collect()}
+
+
+def test_bounded_sample_keeps_the_balance(spark):
+    _, scored = c.score_files(changes_of(spark), rows=60)
     right = scored.agg(F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("double"))).first()[0]
-    assert right > 0.95
+    assert scored.count() == len(fill(MADE)) + len(fill(HAND)) and right > 0.8
+
+
+def test_threshold(spark):
+    df = spark.createDataFrame([(1.0, 0.9), (1.0, 0.7), (0.0, 0.4), (0.0, 0.0)], "label double, score double")
+    assert c.best_threshold(df) == 0.7
+    assert c.best_threshold(df.limit(0)) == 1.0
+    assert c.best_threshold(df.where("label = 0")) == 1.0
 
 
 def test_forms_and_bad_rows(spark):
-    odd = [" ./api/a/b.pb.go", "api\\a\\b.pb.go\t", "api/a/b.pb.go", "api/a/b.pb.go", "", "  ", None, "src/" + "long/" * 5000 + "x.py", "日本語/ü.py", "x"]
-    changes = frame(spark, odd).withColumns({"file": F.lit("f"), "kind": F.lit(1), "n": F.lit(2), "label": F.lit("l"), "token": F.lit(0)})
-    got = sorted(r.path for r in c.unwritten_files(changes).collect())
-    assert got == sorted({odd[0], odd[1], odd[2]})
+    forms = [" ./api/alpha/beta.pb.go", "api\\alpha\\beta.pb.go\t", "api/alpha/beta.pb.go", "api/alpha/beta.pb.go"]
+    odd = ["", "  ", None, "src/" + "long/" * 5000 + "x.py", "日本語/ü.py", "x", "/", "."]
+    rows = changes_of(spark).unionByName(frame(spark, forms, True)).unionByName(frame(spark, odd))
+    names = ("file", "kind", "n", "label", "gram", "fold", "rate", "score")
+    got = {r.path for r in c.unwritten_files(rows.withColumns({n: F.lit("f") for n in names})).collect()}
+    assert set(forms) <= got and not got & set(odd)
 
 
 def test_one_label_and_empty(spark):
     assert c.unwritten_files(frame(spark, ["src/a.py", "src/b.py"])).collect() == []
-    assert {r.kind for r in c.unwritten_files(frame(spark, ["a/vendor/b.c"])).collect()} == {"vendored"}
+    assert c.unwritten_files(frame(spark, ["a/vendor/b.c"])).collect() == []
     assert c.unwritten_files(frame(spark, ["a"]).limit(0)).collect() == []
 
 
 def test_nulls_everywhere(spark):
-    rows = spark.createDataFrame([("a/vendor/b.c", *[None] * 6), ("src/a.c", *[None] * 6)], ROWS)
-    assert [r.path for r in c.unwritten_files(rows).collect()] == ["a/vendor/b.c"]
+    rows = spark.createDataFrame([("a/vendor/b.c", *[None] * 6), ("src/a.c", *[None] * 6), (None, *[None] * 6)], ROWS)
+    _, scored = c.score_files(rows)
+    assert {(r.file, r.label, r.score) for r in scored.collect()} == {("a/vendor/b.c", 1.0, 0.0), ("src/a.c", 0.0, 0.0)}
