@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +27,31 @@ def build_session(app: str = "lodestrata", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint.
-
-    The folder is the cluster's `spark.checkpoint.dir`, shared by all executors, so the data outlive any of
-    them. Only where no folder is set, as in tests, is a temporary one made.
-    """
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's `spark.checkpoint.dir`, shared by all executors; a temporary folder only where none is set and all run on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestrata-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint, whose data outlive any executor."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a Parquet table beside the checkpoints, for wide rows of which each reader needs some columns."""
+    folder = f"{_checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as there are cores: a small table in few files keeps most of them idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
