@@ -45,18 +45,27 @@ def test_pages(spark):
     assert got.agg(F.min("share")).first()[0] > 0.5
 
 
+def parts_of(spark, rows):
+    return s.read_sections(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+
+
 def test_curves_against_definition(spark):
     import numpy as np
 
     words = ["a"] * 8 + ["b"] * 4 + ["c"] * 2 + ["d"] * 2 + ["e"]
-    counts = s.word_counts(s.sections(spark.createDataFrame([(1, " ".join(words), "en"), (2, "a b c d e", "en")], "doc_id bigint, text string, lang string")), "doc_id")
-    models, langs = s.language_models(counts)
-    row = s.section_curves(counts, models, langs, "doc_id").where("doc_id = 1").first()
+    row = s.section_curves(parts_of(spark, [(1, " ".join(words), "en"), (2, "x", None), (3, "y y", None)]), "doc_id").where("doc_id = 1").first()
     f = np.log([8, 4, 2, 2, 1])
     r = np.log(np.arange(1, 6))
     k, a = np.polyfit(r, f, 1)
     assert abs(row.slope - k) < 1e-9 and abs(row.residual - np.sqrt(np.mean((f - a - k * r) ** 2))) < 1e-9
-    assert abs(row.divergence - np.log(10)) < 1e-9 and row.words == 17
+
+
+def test_sections_of_a_page():
+    text = prose(random.Random(1), 4) + "\n\n\n" + "\n \n".join(["sofa", "red sofa", "sofa now"]) + "\r\n\r\n" + prose(random.Random(2), 5) + "\n\nend"
+    parts = s.page_sections(text)
+    assert [sum(w.values()) < s.LEAST_WORDS for _, _, w in parts] == [False, True, False, True]
+    assert parts[1][2] == {"sofa": 3, "red": 1, "now": 1} and parts[1][0] == len("sofared sofasofa now")
+    assert s.page_sections("") == s.page_sections(" \r\n\n\t ") == []
 
 
 def test_empty(spark):
@@ -78,13 +87,46 @@ def test_copies_teach_nothing(spark):
     assert {r.doc_id for r in got.collect()} == {r[0] for r in copies}
 
 
-def test_copies_count_once(spark):
-    rows = [(1, "a b c", "en"), (2, "B a, c 7", "en"), (3, "a d", "en"), (4, "a b c", "de")]
-    models, langs = s.language_models(s.word_counts(s.sections(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")), "doc_id"))
-    p = {r.word: round(2.718281828459045 ** r.p[langs.index("en")], 6) for r in models.collect()}
+def test_copies_count_once(spark, monkeypatch):
+    monkeypatch.setattr(s, "LEAST_PROSE", 1)
+    parts = parts_of(spark, [(1, "a b c", "en"), (2, "B a, c 7", "en"), (3, "a d", "en"), (4, "a b c", "de")])
+    p = {r.word: round(2.718281828459045 ** (m.p + s.UNKNOWN), 6) for r in s.language_models(parts).collect() for m in r.models if m.language == "en"}
     assert p == {"a": 0.4, "b": 0.2, "c": 0.2, "d": 0.2}
 
 
+def test_lists_with_blank_lines_are_found(spark):
+    rng = random.Random(4)
+    pages = {4000 + i: spam(rng, k) for i, k in enumerate(["links", "tags", "keys"] * 4)}
+    rows = [(k, v.replace("\n", "\n\n").replace(", ", "\n\n").replace(" #", "\n\n#"), "en") for k, v in pages.items()]
+    assert {r.doc_id for r in s.spam_pages(frame(spark, rows)).collect()} == set(pages)
+
+
+FOREIGN = ["der leser wartet auf die datei", "ein test war langsam weil", "die liste ist leer und", "niemand hat es gesehen", "das protokoll sagt es so", "wir einigen uns auf den namen"]
+
+
+def test_languages_without_a_model(spark):
+    """Prose in a language that too few sections are in, declared or not, is not far from prose: it has no divergence."""
+    rng = random.Random(6)
+    rows = [(6000 + i, ", ".join(rng.choice(FOREIGN) for _ in range(12)), "de" if i % 2 else None) for i in range(20)]
+    keys = [(6100, ", ".join(rng.choice(["cheap sofa", "sofa online", "buy sofa"]) for _ in range(60)), "en")]
+    parts = s.read_sections(frame(spark, rows + keys))
+    scored = s.score_sections(parts).where("doc_id >= 6000 and doc_id < 6100")
+    assert scored.count() == 20 and scored.where("divergence is not null").count() == 0
+    assert {r.doc_id for r in s.spam_pages(frame(spark, rows + keys)).collect()} == {6100}
+
+
+def test_many_languages(spark):
+    """No number of languages is too large: the least frequent of twenty keeps its prose and shows its spam."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(20):
+        alphabet = rng.sample("abcdefghijklmnopqrstuvwxyz", 12)
+        words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(2, 8))) for _ in range(300)]
+        rows += [(10_000 + 100 * k + i, " ".join(words[int(300 * rng.random() ** 2)] for _ in range(60)), f"x{k:02d}") for i in range(40 + k)]
+    rows.append((50_000, ", ".join(rng.choice(["qqwk zzpf", "zzpf vvxw", "kkqz qqwk"]) for _ in range(40)), "x00"))
+    assert {r.doc_id for r in s.spam_pages(frame(spark, rows)).collect()} == {50_000}
+
+
 def test_curves_alone_are_found(spark):
     """Words of the language in no sentences: equal repeats are too flat, one word again and again too steep."""
     rng = random.Random(8)
