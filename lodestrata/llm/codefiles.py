@@ -55,7 +55,7 @@ NOTICES = {
 #: About so many labelled files of either kind and fold train a forest; all files are counted and scored.
 TRAINING_ROWS = 20_000
 FOLDS = 3
-TREES, DEPTH, SEED = 40, 10, 17
+TREES, DEPTH, SEED = 20, 8, 17
 #: A word with a larger share of a fold's files is joined by broadcast; as a path has some twenty grams, there are few.
 COMMON = 1e-3
 
