@@ -169,7 +169,8 @@ def section_languages(parts: DataFrame, models: DataFrame, key: str) -> DataFram
     found = words.join(F.broadcast(models) if small else models, "word").select(key, "section", "lang", "n", F.explode("models").alias("m"))
     value = F.when(F.col("lang") == F.col("m.language"), F.col("m.q")).otherwise(F.col("m.p"))
     fits = found.groupBy(key, "section", F.col("m.language").alias("language")).agg(F.sum(F.col("n") * value).alias("gain"), F.sum("n").alias("known"))
-    return fits.groupBy(key, "section").agg(F.max(F.struct("gain", "language", "known")).alias("best")).select(key, "section", "best.language", "best.gain", "best.known")
+    best = F.array_max(F.collect_list(F.struct("gain", "language", "known"))).alias("best")
+    return fits.groupBy(key, "section").agg(best).select(key, "section", "best.language", "best.gain", "best.known")
 
 
 def _yardsticks(prose: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
@@ -215,9 +216,11 @@ def deviations(scored: DataFrame) -> DataFrame:
     measures = ["slope", "residual", "divergence"]
     bins = scored.withColumn("bin", F.floor(F.log2(F.col("words").cast("double"))))
     once = ["language", "bin", "copy"]
-    prose = bins.where("work < 0.5 and lang = language and divergence is not null").groupBy(*once).agg(F.min(F.struct(*measures)).alias("m")).select(*once, "m.*")
-    near = _all_lengths(_yardsticks(prose, ["language", "bin"], measures).where(F.col("many") >= LEAST_PROSE).drop("many"), measures)
-    wide = _yardsticks(prose, ["language"], measures).drop("many").withColumnsRenamed({f"{k}_{m}": f"all_{k}_{m}" for m in measures for k in ("mid", "dev")})
+    prose = bins.where("work < 0.5 and lang = language and divergence is not null").groupBy(*once).agg(*[F.min(m).alias(m) for m in measures])
+    all_lengths = F.explode(F.array(F.col("bin"), F.lit(-1).cast("bigint"))).alias("bin")
+    yards = cut(_yardsticks(cut(prose.select("language", all_lengths, *measures)), ["language", "bin"], measures))
+    near = _all_lengths(yards.where((F.col("bin") >= 0) & (F.col("many") >= LEAST_PROSE)).drop("many"), measures)
+    wide = yards.where("bin < 0").drop("many", "bin").withColumnsRenamed({f"{k}_{m}": f"all_{k}_{m}" for m in measures for k in ("mid", "dev")})
     joined = bins.join(near, ["language", "bin"], "left").join(wide, "language", "left")
     pick = lambda k, m: F.coalesce(f"{k}_{m}", f"all_{k}_{m}")
 
