@@ -150,9 +150,10 @@ def stored_paths(changes: DataFrame) -> DataFrame:
 
 
 def labelled_files(stored: DataFrame) -> DataFrame:
-    """(file, fold, label, gram, shown, _STATS) per file, whatever the number of stored forms of its path.
+    """(file, id, fold, label, gram, shown, _STATS) per file, whatever the number of stored forms of its path.
 
-    label is 1 with a notice, else 0; gram has the words of the path and its language, shown those that no notice covers.
+    label is 1 with a notice, else 0; gram has the words of the path and its language, shown those that no notice covers,
+    and id the 128 bits of a digest of the path, in its place where grams are joined.
     """
     files = (
         stored.groupBy("file")
@@ -161,7 +162,7 @@ def labelled_files(stored: DataFrame) -> DataFrame:
     )
     spoken = F.when(F.col("lang") != "", F.array(F.concat(F.lit("l:"), "lang"))).otherwise(F.array().cast("array<string>"))
     return files.select(
-        "file", F.pmod(F.xxhash64("file"), F.lit(FOLDS)).cast("int").alias("fold"), F.col("label").cast("double").alias("label"),
+        "file", F.unhex(F.md5("file")).alias("id"), F.pmod(F.xxhash64("file"), F.lit(FOLDS)).cast("int").alias("fold"), F.col("label").cast("double").alias("label"),
         F.concat(_grams("file", F.lit(False)), spoken).alias("gram"), F.when(F.col("label"), F.concat(_grams("file", F.lit(True)), spoken)).alias("shown"),
         F.log1p(F.col("added") / F.col("n")).alias("log_added"), F.log1p(F.col("largest").cast("double")).alias("log_largest"),
         F.log1p(F.col("removed") / F.col("n")).alias("log_removed"), (F.col("fns") / F.col("n")).alias("functions"),
@@ -191,18 +192,18 @@ def file_features(files: DataFrame, sizes: dict[tuple[int, float], int], rows: i
     drawn = F.lit(False)
     for (fold, label), part in share.items():
         drawn = drawn | ((F.col("fold") == fold) & (F.col("label") == label) & (F.pmod(F.xxhash64(F.lit(SEED), "file"), F.lit(1 << 20)) < int(part * (1 << 20))))
-    use = lambda df, fitting, step, gram: df.select("file", F.lit(fitting).alias("fitting"), F.pmod(F.col("fold") + step, F.lit(FOLDS)).alias("of"), F.explode(gram).alias("gram"))
+    use = lambda df, fitting, step, gram: df.select("id", F.lit(fitting).alias("fitting"), F.pmod(F.col("fold") + step, F.lit(FOLDS)).alias("of"), F.explode(gram).alias("gram"))
     tokens = use(files, False, 1, F.col("gram")).unionByName(use(files.where(drawn), True, 2, F.coalesce("shown", "gram")))
     common = tokens.join(F.broadcast(rates.where("common").select("of", "gram", "rate")), ["of", "gram"], "left")
     rare = rates.where("not common").select("of", "gram", F.col("rate").alias("rare"))
-    rated = common.where("rate is not null").select("file", "fitting", "gram", "rate").unionByName(
-        common.where("rate is null").join(rare, ["of", "gram"]).select("file", "fitting", "gram", F.col("rare").alias("rate"))
+    rated = common.where("rate is not null").select("id", "fitting", "gram", "rate").unionByName(
+        common.where("rate is null").join(rare, ["of", "gram"]).select("id", "fitting", "gram", F.col("rare").alias("rate"))
     )
-    lists = rated.groupBy("file", "fitting").agg(F.collect_list(F.struct("gram", "rate")).alias("rated"))
-    known = files.select("file", "fold", "label", *_STATS, F.lit(False).alias("fitting")).unionByName(files.where(drawn).select("file", "fold", "label", *_STATS, F.lit(True).alias("fitting")))
+    lists = rated.groupBy("id", "fitting").agg(F.collect_list(F.struct("gram", "rate")).alias("rated"))
+    known = files.select("id", "file", "fold", "label", *_STATS, F.lit(False).alias("fitting")).unionByName(files.where(drawn).select("id", "file", "fold", "label", *_STATS, F.lit(True).alias("fitting")))
     listed = lambda c, kind: F.coalesce(F.col("rated")[c], F.array().cast(kind))
     base = by_fold(bases, F.pmod(F.col("fold") + F.when(F.col("fitting"), 2).otherwise(1), F.lit(FOLDS)))
-    wide = known.join(lists, ["file", "fitting"], "left").withColumn("w", _word_features(listed("gram", "array<string>"), listed("rate", "array<double>"), base))
+    wide = known.join(lists, ["id", "fitting"], "left").withColumn("w", _word_features(listed("gram", "array<string>"), listed("rate", "array<double>"), base))
     words = [F.col("w")[i].alias(c) for i, c in enumerate(FEATURES[: -len(_STATS)])]
     return wide.select("file", "fold", "label", "fitting", *words, *_STATS)
 
