@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lodestrata.operators.order import numbered
+from lodestrata.operators.order import last_before, numbered
 from lodestrata.session import cut
 
 
-def _latest_before(asked: DataFrame, assigned: DataFrame, path: str) -> DataFrame:
-    """(event, parent): the last assignment to `path` before each asked event."""
-    given = assigned.select(F.col("path").alias(path), F.col("event").alias("given"))
-    return asked.join(given, path).where(F.col("given") < F.col("event")).groupBy("event").agg(F.max("given").alias("parent"))
+def latest_before(asked: DataFrame, assigned: DataFrame, path: str, same: bool = False) -> DataFrame:
+    """(event, parent): the last assignment to `path` before each asked event, or `same` as it.
+
+    Asked events and assignments of a path are put in one order, so the work does not grow with their product.
+    """
+    key = "path"
+    tie = F.lit(1 if same else 0).alias("asked")
+    side = lambda df, c, value, order: df.select(F.col(c).alias(key), "event", F.col("event.seq").alias("seq"), F.col("event.ordinal").alias("ordinal"), value.alias("given"), order)
+    asks = side(asked, path, F.lit(None).cast(assigned.schema["event"].dataType), tie)
+    gives = side(assigned, key, F.col("event"), F.lit(0 if same else 1).alias("asked"))
+    found = last_before(asks.unionByName(gives), key, "seq", ["ordinal", "asked"], "given", "parent")
+    return found.where("given is null and parent is not null").select("event", "parent")
 
 
 def assignments(events: DataFrame) -> DataFrame:
@@ -25,8 +33,8 @@ def assignments(events: DataFrame) -> DataFrame:
     known = events.where("path is not null and seq is not null").select("path", "rename_from", F.struct("seq", F.coalesce("ordinal", F.lit(0)).alias("ordinal")).alias("event"))
     first = known.groupBy("path").agg(F.min_by(F.struct("event", "rename_from"), "event").alias("f")).select("path", "f.event", "f.rename_from")
     assigned = cut(first.unionByName(known.where("rename_from is not null").select("path", "event", "rename_from")).distinct())
-    moved = _latest_before(assigned.where("rename_from is not null"), assigned, "rename_from").withColumnRenamed("parent", "from_old")
-    own = _latest_before(assigned, assigned, "path").withColumnRenamed("parent", "from_own")
+    moved = latest_before(assigned.where("rename_from is not null"), assigned, "rename_from").withColumnRenamed("parent", "from_old")
+    own = latest_before(assigned, assigned, "path").withColumnRenamed("parent", "from_own")
     linked = assigned.join(moved, "event", "left").join(own, "event", "left").select(
         "event", "path", F.col("from_old").isNotNull().alias("renamed"), F.coalesce("from_old", "from_own", "event").alias("root")
     )
@@ -67,7 +75,6 @@ def rename_sources(changes: DataFrame) -> DataFrame:
     ordered by path; repeated rows are one event.
     """
     rows = changes.where("file_id is not null and path <> '' and seq is not null").groupBy("file_id", "seq", "path").agg(F.max("status").alias("status"))
-    before = F.lag("path").over(Window.partitionBy("file_id").orderBy("seq", "path"))
-    found = rows.withColumn("old", before).select("seq", "path", F.when((F.col("status") == "R") & (F.col("old") != F.col("path")), F.col("old")).alias("rename_from"))
+    found = last_before(rows, "file_id", "seq", ["path"], "path", "old").select("seq", "path", F.when((F.col("status") == "R") & (F.col("old") != F.col("path")), F.col("old")).alias("rename_from"))
     once = found.groupBy("seq", "path").agg(F.max("rename_from").alias("rename_from"))
     return once.withColumn("ordinal", (F.row_number().over(Window.partitionBy("seq").orderBy("path")) - 1).cast("bigint"))

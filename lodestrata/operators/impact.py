@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestrata.functions import units as u
+from lodestrata.operators.order import last_before
 
 #: Share of common tokens from which a new unit is a renamed old one.
 RENAME_JACCARD = 0.6
@@ -140,7 +141,7 @@ def previous_version(units: DataFrame, order: DataFrame) -> DataFrame:
     `order` has sha and seq; of versions of equal seq the larger sha is the later.
     """
     versions = units.where("file_id is not null and sha is not null").select("sha", "file_id").distinct().join(order, "sha")
-    return versions.select("sha", "file_id", F.lag("sha").over(Window.partitionBy("file_id").orderBy("seq", "sha")).alias("prev_sha"))
+    return last_before(versions, "file_id", "seq", ["sha"], "sha", "prev_sha").select("sha", "file_id", "prev_sha")
 
 
 def name_match(units: DataFrame, previous: DataFrame) -> DataFrame:

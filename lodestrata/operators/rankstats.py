@@ -12,10 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestrata.operators.order import cuts_at, range_of, ranges_of
 from lodestrata.session import cut
 
-#: Parts that the values of a measure are cut into, so that no task orders all of them.
-SPLITS = 64
 #: A matrix of controls below this determinant is taken for collinear.
 SINGULAR = 1e-12
 
@@ -29,13 +28,15 @@ def value_ranks(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     keys = [*by, "measure"]
     counts = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("value", [i / SPLITS for i in range(1, SPLITS)], 500).alias("cuts"))
-    parted = counts.join(cuts, keys).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    ranges = ranges_of(long.sparkSession)
+    hint = (lambda df: df) if by else F.broadcast  # without groups there is a row for each measure, and range of it
+    cuts = counts.groupBy(*keys).agg(cuts_at("value", ranges).alias("cuts"))
+    parted = counts.join(hint(cuts), keys).withColumn("part", range_of(F.col("value"), F.col("cuts"), ranges)).drop("cuts")
     before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parted.groupBy(*keys, "part").agg(F.sum("n").alias("t")).select(*keys, "part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     rank2 = 2 * (F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("offset")) + F.col("n") + 1
-    return parted.join(offsets, [*keys, "part"]).select(*keys, "value", "n", rank2.cast("bigint").alias("rank2"))
+    return parted.join(hint(offsets), [*keys, "part"]).select(*keys, "value", "n", rank2.cast("bigint").alias("rank2"))
 
 
 def rank_columns(df: DataFrame, key: str, measures: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestrata.operators import features, rankstats as rs
+from lodestrata.operators.order import last_before
 from lodestrata.session import cut
 
 CONTROLS = ["churn", "files", "cc", "n_units", "entropy"]
@@ -15,12 +16,11 @@ def last_writer_links(changes: DataFrame, max_files: int = 60) -> DataFrame:
 
     A table of changes has no lines to trace, so the last writer of a file stands for that of its lines: all its
     commits at the greatest earlier seq. Fixes of more than `max_files` files, and files a fix removes nothing
-    from, have no links. One window per file finds the earlier seq; there is no join of a file with itself.
+    from, have no links. The earlier seq is found range by range (`last_before`); there is no join of a file with itself.
     """
     known = changes.where("sha is not null and file_id is not null and seq is not null")
     by_seq = known.groupBy("file_id", "seq").agg(F.max(F.struct(F.coalesce("is_fix", F.lit(False)).alias("fix"))).alias("any"))
-    earlier = F.lag("seq").over(Window.partitionBy("file_id").orderBy("seq"))
-    previous = by_seq.select("file_id", "seq", "any", earlier.alias("before")).where("any.fix and before is not null").drop("any")
+    previous = last_before(by_seq, "file_id", "seq", [], "seq", "before").where("any.fix and before is not null").drop("any")
     sizes = known.where("is_fix").groupBy("sha").agg(F.count_distinct("file_id").alias("k")).where(F.col("k") <= max_files).select("sha")
     fixes = known.where("is_fix and del_lines > 0").select("sha", "file_id", "seq").distinct().join(sizes, "sha", "left_semi")
     writers = known.select("file_id", F.col("seq").alias("before"), F.col("sha").alias("inducing_sha")).distinct()

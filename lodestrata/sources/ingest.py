@@ -115,7 +115,6 @@ def ingest(
 
 def _event_ids(events: DataFrame, chains: DataFrame, file_ids: DataFrame) -> DataFrame:
     """(seq, ordinal, file_id): the id that each event's path had at that time."""
-    roots = identity.root_ids(chains)
-    given = chains.join(roots, "root").select("path", F.col("event").alias("given"), "id")
+    ids = chains.join(identity.root_ids(chains), "root").select(F.col("event").alias("parent"), "id")
     asked = events.select("path", F.struct("seq", "ordinal").alias("event"))
-    return asked.join(given, "path").where("given <= event").groupBy("event").agg(F.max_by("id", "given").alias("file_id")).select("event.seq", "event.ordinal", "file_id")
+    return identity.latest_before(asked, chains.select("path", "event"), "path", same=True).join(ids, "parent").select("event.seq", "event.ordinal", F.col("id").alias("file_id"))

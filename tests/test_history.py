@@ -150,3 +150,36 @@ def test_charts(spark):
     assert charts.downsample(points, 5).count() == 100 and charts.downsample(points, 100).count() == 100
     medians = charts.upper_median(spark.createDataFrame([("r", float(v)) for v in (4, 1, 3, 2)], "g string, v double"), "v", ["g"])
     assert medians.first().median == 3.0
+
+
+def test_last_before(spark):
+    """A key that half of all rows have, among others, nulls and gaps: as a window over the whole key gives it."""
+    from pyspark.sql import Window
+
+    from lodestrata.operators.order import last_before
+
+    rng = random.Random(2)
+    rows = [("hot" if i % 2 else rng.choice(["a", "b", None]), rng.choice([rng.randint(0, 50), i]) if i % 97 else None, i, i if rng.random() < 0.3 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, seq bigint, id int, v int")
+    whole = Window.partitionBy("k").orderBy("seq", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = {(r.id, r.p) for r in df.withColumn("p", F.last("v", True).over(whole)).collect()}
+    found = last_before(df, "k", "seq", ["id"], "v", "p")
+    assert {(r.id, r.p) for r in found.collect()} == want and found.columns == ["k", "seq", "id", "v", "p"]
+    assert last_before(df.limit(0), "k", "seq", ["id"], "v", "p").collect() == []
+
+
+def test_hot_key_is_split(spark):
+    from lodestrata.operators.order import parted
+
+    rows = spark.range(200_000).select((F.col("id") % 2).alias("k"), F.col("id").alias("seq"))
+    sizes = [r["count"] for r in parted(rows, "seq").groupBy("k", "_part").count().collect()]
+    assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_range_of(spark):
+    from lodestrata.operators.order import range_of
+
+    for ranges in (2, 3, 10, 65):
+        cuts = list(range(10, 10 * ranges, 10))
+        df = spark.range(0, 10 * ranges + 11).select("id", F.array(*[F.lit(c) for c in cuts]).alias("cuts"))
+        assert all(r.p == sum(c < r.id for c in cuts) for r in df.select("id", range_of(F.col("id"), F.col("cuts"), ranges).alias("p")).collect())
