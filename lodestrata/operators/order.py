@@ -7,6 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+#: A range of this many successive places in history is ordered in one task.
+WIDTH = 1 << 16
+
 
 def ranges_of(spark: SparkSession) -> int:
     """In how many ranges an order is cut: as many as there are shuffle partitions."""
@@ -49,19 +52,19 @@ def numbered(df: DataFrame, first: str, then: Sequence[str] = (), name: str = "p
     return rows.withColumn("_inside", inside).join(F.broadcast(sizes), "_part").withColumn(name, F.col("_inside") + F.col("_offset")).drop("_part", "_inside", "_offset")
 
 
-def last_before(df: DataFrame, key: str, first: str, then: Sequence[str], value: str, name: str) -> DataFrame:
+def last_before(df: DataFrame, key: str, first: str, then: Sequence[str], value: str, name: str, width: int = WIDTH) -> DataFrame:
     """Adds `name`: the last non-null `value` before each row of its key, by the whole number `first`, then by the columns `then`.
 
-    A key that many rows have is ordered range by range: within a range by a window, and the last value of each
-    range is handed to the next ones, so no task holds all rows of a key. `first` and `then` together should be unique
-    in a key. Null keys are a key like others.
+    A key that many rows have is ordered range by range of `first`: within a range by a window, and the last value
+    of each range is handed to the next ones. So no task holds all rows of a key, but at most those of `width`
+    successive places in history. `first` and `then` together should be unique in a key, and no key null.
     """
-    rows = parted(df, first)
+    part = F.coalesce(F.floor(F.col(first) / width), F.lit(-1))
+    rows = df.withColumn("_part", F.when(F.col(first) < 0, -1).otherwise(part)).repartition(key, "_part")
     inside = Window.partitionBy(key, "_part").orderBy(first, *then).rowsBetween(Window.unboundedPreceding, -1)
     known = F.col(value).isNotNull()
-    ends = rows.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_range")).agg(F.max_by(F.when(known, F.col(value)), F.when(known, F.struct(first, *then))).alias("_end"))
-    earlier = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    handed = ends.select("_key", "_range", F.last("_end", True).over(earlier).alias("_handed")).where("_handed is not null")
+    ends = rows.groupBy(key, "_part").agg(F.max_by(F.when(known, F.col(value)), F.when(known, F.struct(first, *then))).alias("_end"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select(key, "_part", F.last("_end", True).over(earlier).alias("_handed")).where("_handed is not null")
     here = rows.withColumn(name, F.last(value, True).over(inside))
-    met = here.join(handed, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_range")), "left")
-    return met.withColumn(name, F.coalesce(name, "_handed")).drop("_part", "_key", "_range", "_handed")
+    return here.join(handed, [key, "_part"], "left").withColumn(name, F.coalesce(name, "_handed")).select(*df.columns, name)

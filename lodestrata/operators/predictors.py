@@ -11,6 +11,12 @@ CORE = ["impact", "impact_comp", "churn", "commits", "hotspot"]
 EXTRA = ["size", "wmc", "entropy", "ndev", "prior_fixes"]
 #: Columns that may be unknown for a file; statistics that need one rank only the files where it is known.
 PARTLY = {"size": ["size"], "wmc": ["wmc"], "both": ["size", "wmc"], "all": []}
+#: The columns that each of these sets of files ranks.
+RANKED = {
+    "size": ["impact", "fixes", "size"], "wmc": ["impact", "fixes", "wmc"],
+    "both": ["impact", "fixes", "churn", "hotspot", "size", "wmc", "entropy", "ndev"],
+    "all": ["impact", "fixes", "impact_comp", "churn", "commits", "hotspot", "entropy", "ndev", "prior_fixes"],
+}
 COLUMNS = ["impact", "fixes", "impact_comp", "churn", "commits", "hotspot", "entropy", "ndev", "prior_fixes", "size", "wmc"]
 
 
@@ -32,24 +38,24 @@ def _subset(predictor: str) -> str:
 def predictor_matrix(columns: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, metric, predictor, control, value) for spearman, auc, partial, and the counts n_files, n_buggy, prevalence.
 
-    The four rank sets (all files, and those with a known size, complexity, or both) go through one ranking and
-    one aggregation of all products, side by side; the columns, which many ranks read, are checkpointed once. Statistics of three or fewer rows with an extra predictor, or
+    The four rank sets (all files, and those with a known size, complexity, or both) go through one ranking of
+    the columns they need and one aggregation of the products, side by side. Statistics of three or fewer rows with an extra predictor, or
     of too few for many controls, are null.
     """
     by, columns = by or [], cut(columns)
     keys = [*by, "subset"]
     sets = F.array(*[F.when(F.lit(True) if not need else F.expr(" and ".join(f"{c} is not null" for c in need)), F.lit(name)) for name, need in PARTLY.items()])
     rows = columns.withColumn("subset", F.explode(sets)).where("subset is not null")
-    ranks = rs.rank_columns(rows, "file_id", COLUMNS, keys)
-    # unknown measures of a subset count as rank 0: no statistic of that subset reads them
-    filled = ranks.fillna(0, COLUMNS)
-    r = rs.correlations(filled, COLUMNS, keys)
+    asked = F.create_map(*[x for name, ranked in RANKED.items() for x in (F.lit(name), F.array(*[F.lit(c) for c in ranked]))])[F.col("subset")]
+    ranks = rs.rank_columns(rows, "file_id", COLUMNS, keys, asked, ["label"])
     scored = ["impact", "impact_comp", "churn", "hotspot", *EXTRA]
-    labelled = filled.join(rows.select(*keys, "file_id", "label"), [*keys, "file_id"]).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"), *[F.sum(F.col(c) * F.col("label")).alias(f"s_{c}") for c in scored]
-    )
     at = {c: i for i, c in enumerate(COLUMNS)}
-    cell = lambda x, y: F.col(f"r_{min(at[x], at[y])}_{max(at[x], at[y])}")
+    place = lambda x, y: (min(at[x], at[y]), max(at[x], at[y]))
+    cell = lambda x, y: F.col("r_{}_{}".format(*place(x, y)))
+    used = {place(x, y) for x in RANKED["both"] for y in RANKED["both"]}
+    used |= {place(x, y) for x in COLUMNS for y in ("impact", "fixes")} | {place("impact_comp", "churn")}
+    more = [F.sum("label").alias("p"), *[F.sum(F.col(c) * F.col("label")).alias(f"of_{c}") for c in scored]]
+    r = rs.correlations(ranks, COLUMNS, keys, sorted(used), more)
     entry = lambda s, m, p, c, v: F.struct(F.lit(s).alias("of"), F.lit(m).alias("metric"), F.lit(p).alias("predictor"), F.lit(c).alias("control"), v.cast("double").alias("value"))
     guard = lambda p, v, least=2: F.when(F.col("n") > least, v) if p in EXTRA else v
 
@@ -66,7 +72,7 @@ def predictor_matrix(columns: DataFrame, by: list[str] | None = None) -> DataFra
     from_r += [entry(_subset(z), "partial", "impact", z, partial("impact", z)) for z in ["churn", "hotspot", *EXTRA]]
     from_r += [entry("all", "partial", "impact_comp", "churn", partial("impact_comp", "churn"))]
     from_r += [entry("both", "partial", "impact", "multi_core", many(core)), entry("both", "partial", "impact", "multi_all", many([*core, "entropy", "ndev"]))]
-    from_l = [entry(_subset(c), "auc", c, "", guard(c, rs.auc_of(F.col(f"s_{c}"), F.col("p"), F.col("n")), 0)) for c in scored]
+    from_l = [entry(_subset(c), "auc", c, "", guard(c, rs.auc_of(F.col(f"of_{c}"), F.col("p"), F.col("n")), 0)) for c in scored]
     from_l += [entry("all", "n_files", "", "", F.col("n")), entry("all", "n_buggy", "", "", F.col("p")), entry("all", "prevalence", "", "", F.col("p") / F.col("n"))]
-    out = r.select(*keys, F.explode(F.array(*from_r)).alias("e")).unionByName(labelled.select(*keys, F.explode(F.array(*from_l)).alias("e")))
+    out = r.select(*keys, F.explode(F.array(*from_r, *from_l)).alias("e"))
     return out.where("subset = e.of").select(*by, "e.metric", "e.predictor", "e.control", "e.value")

@@ -39,37 +39,47 @@ def value_ranks(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return parted.join(hint(offsets), [*keys, "part"]).select(*keys, "value", "n", rank2.cast("bigint").alias("rank2"))
 
 
-def rank_columns(df: DataFrame, key: str, measures: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by, key, a column per measure): doubled average ranks instead of the values. `key` names each row of a group."""
+def rank_columns(df: DataFrame, key: str, measures: Sequence[str], by: Sequence[str] = (), only: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(by, key, keep, a column per measure): doubled average ranks instead of the values. `key` names each row of a group.
+
+    `only` is an array of the names of those measures that are asked for in a row; others have no rank there. The
+    columns `keep` are handed through.
+    """
     values = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
-    long = df.select(*by, key, F.explode(values).alias("v")).select(*by, key, "v.measure", "v.value")
+    asked = values if only is None else F.filter(values, lambda v: F.array_contains(only, v["measure"]))
+    long = df.select(*by, key, *keep, F.explode(asked).alias("v")).select(*by, key, *keep, "v.measure", "v.value")
     ranked = long.join(value_ranks(long, by), [*by, "measure", "value"])
-    return ranked.groupBy(*by, key).agg(*[F.max(F.when(F.col("measure") == m, F.col("rank2"))).alias(m) for m in measures])
+    return ranked.groupBy(*by, key).agg(*[F.max(c).alias(c) for c in keep], *[F.max(F.when(F.col("measure") == m, F.col("rank2"))).alias(m) for m in measures])
 
 
-def _exact(c: Column) -> Column:
-    return F.sum(c.cast("decimal(38,0)"))
+#: Products are summed in two halves of so many bits, in whole numbers of 64 bits.
+_HALF = 1 << 32
 
 
-def correlations(ranks: DataFrame, measures: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by, n, r_<i>_<j> for each pair i <= j of measures): Pearson correlations of whole-number columns.
+def correlations(ranks: DataFrame, measures: Sequence[str], by: Sequence[str] = (), pairs: Sequence[tuple[int, int]] | None = None, more: Sequence[Column] = ()) -> DataFrame:
+    """(by, n, r_<i>_<j> for each pair i <= j of measures, more): Pearson correlations of columns of doubled ranks.
 
-    Null for fewer than two rows or a column without variance. Rows must have all measures.
+    Null for fewer than two rows or a column without variance. Rows must have the measures of a pair, or all of a
+    group none. `pairs` restricts the pairs to compute, `more` are further aggregates. All sums are exact: a product is
+    below 2 ** 63 for up to 1.5 billion rows in a group (beyond, the multiplication fails rather than wraps).
     """
-    x = [F.col(m).cast("decimal(38,0)") for m in measures]
-    pairs = [(i, j) for i in range(len(measures)) for j in range(i, len(measures))]
-    sums = ranks.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), *[_exact(c).alias(f"s_{i}") for i, c in enumerate(x)], *[_exact(x[i] * x[j]).alias(f"s_{i}_{j}") for i, j in pairs]
-    )
-    n = F.col("n").cast("decimal(20,0)")
-    spread = lambda i, j: (n * F.col(f"s_{i}_{j}").cast("decimal(38,0)") - F.col(f"s_{i}").cast("decimal(38,0)") * F.col(f"s_{j}").cast("decimal(38,0)")).cast("double")
-    moments = sums.select(*by, "n", *[spread(i, j).alias(f"c_{i}_{j}") for i, j in pairs])
+    pairs = list(pairs or [(i, j) for i in range(len(measures)) for j in range(i, len(measures))])
+    pairs = sorted({*pairs, *[(i, i) for pair in pairs for i in pair]})
+    x = {i: F.col(measures[i]).cast("bigint") for pair in pairs for i in pair}
+    half = lambda i, j: [F.sum(F.shiftright(x[i] * x[j], 32)).alias(f"h_{i}_{j}"), F.sum((x[i] * x[j]).bitwiseAND(F.lit(_HALF - 1))).alias(f"l_{i}_{j}")]
+    sums = ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{i}") for i, c in x.items()], *[c for i, j in pairs for c in half(i, j)], *more)
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    whole = lambda i, j: F.col(f"h_{i}_{j}").cast("decimal(20,0)") * F.lit(_HALF).cast("decimal(11,0)") + big(f"l_{i}_{j}")
+    spread = lambda i, j: (F.col("n").cast("decimal(20,0)") * whole(i, j).cast("decimal(38,0)") - big(f"s_{i}") * big(f"s_{j}")).cast("double")
+    kept = [c for c in sums.columns if c not in by and c != "n" and not c.startswith(("h_", "l_"))]
+    kept = [c for c in kept if c not in {f"s_{i}" for i in x}]
+    moments = sums.select(*by, "n", *kept, *[spread(i, j).alias(f"c_{i}_{j}") for i, j in pairs])
 
     def r(i: int, j: int) -> Column:
         root = F.sqrt(F.col(f"c_{i}_{i}") * F.col(f"c_{j}_{j}"))
         return F.when(root > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"c_{i}_{j}") / root)))
 
-    return moments.select(*by, "n", *[r(i, j).alias(f"r_{i}_{j}") for i, j in pairs])
+    return moments.select(*by, "n", *kept, *[r(i, j).alias(f"r_{i}_{j}") for i, j in pairs])
 
 
 def partial_of(rxy: Column, rxz: Column, ryz: Column) -> Column:
@@ -171,6 +181,20 @@ def precision_at_k(df: DataFrame, score: str, label: str, order: str, k: int) ->
     return best.agg(F.avg(F.col(label).cast("double")).alias("value"))
 
 
+def precisions(df: DataFrame, scores: Sequence[str], label: str, order: str, ks: Sequence[int]) -> DataFrame:
+    """(k, score, value) for all of a few scores and ks: as `precision_at_k`, from one list of the best per score.
+
+    Each list has at most the largest k of rows, which is all that is ordered in one task.
+    """
+    best = None
+    for score in scores:
+        top = df.orderBy(F.desc(score), F.asc(order)).limit(max(0, *ks)).select(F.lit(score).alias("score"), F.col(score).alias("by"), F.col(order).alias("tie"), F.col(label).cast("double").alias("label"))
+        best = top if best is None else best.unionByName(top)
+    placed = best.withColumn("place", F.row_number().over(Window.partitionBy("score").orderBy(F.desc("by"), "tie")))
+    asked = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: F.col("place") <= k)
+    return placed.select("score", "label", F.explode(asked).alias("k")).groupBy("k", "score").agg(F.avg("label").alias("value"))
+
+
 def slice_of_four(index: Column, n: Column) -> Column:
     """The quarter (0..3) of a 0-based place among n, where quarter q is places q*n//4 to (q+1)*n//4 - 1."""
     return F.floor((index * 4 + 3) / n).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestrata.operators import features, rankstats as rs
-from lodestrata.operators.order import last_before
+from lodestrata.operators.order import last_before, parted
 from lodestrata.session import cut
 
 CONTROLS = ["churn", "files", "cc", "n_units", "entropy"]
@@ -58,12 +58,10 @@ def szz_statistics(feats: DataFrame) -> DataFrame:
     """(metric, predictor, control, value): AUCs, partials given churn, and partials given many controls."""
     feats = cut(feats)
     columns = ["mutation", "composite", "label", *CONTROLS]
-    ranks = rs.rank_columns(feats, "sha", columns)
+    ranks = rs.rank_columns(feats.withColumn("positive", F.col("label")), "sha", columns, keep=["positive"])
     at = {c: i for i, c in enumerate(columns)}
-    r = rs.correlations(ranks, columns)
-    positives = feats.select("sha", F.col("label").alias("positive")).join(ranks, "sha").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("positive").alias("p"), *[F.sum(F.col(c) * F.col("positive")).alias(f"s_{c}") for c in ("mutation", "composite", "churn")]
-    )
+    more = [F.sum("positive").alias("p"), *[F.sum(F.col(c) * F.col("positive")).alias(f"of_{c}") for c in ("mutation", "composite", "churn")]]
+    r = rs.correlations(ranks, columns, more=more)
     cell = lambda x, y: F.col(f"r_{min(at[x], at[y])}_{max(at[x], at[y])}")
 
     def many(controls: list[str]) -> Column:
@@ -75,12 +73,11 @@ def szz_statistics(feats: DataFrame) -> DataFrame:
         return rs.partial_of(cell(x, "label"), cell(x, "churn"), cell("label", "churn"))
 
     entry = lambda m, p, c, v: F.struct(F.lit(m).alias("metric"), F.lit(p).alias("predictor"), F.lit(c).alias("control"), v.alias("value"))
-    aucs = positives.select(F.explode(F.array(*[entry("auc", c, "", rs.auc_of(F.col(f"s_{c}"), F.col("p"), F.col("n"))) for c in ("mutation", "composite", "churn")])).alias("e"))
-    partials = r.select(F.explode(F.array(
+    return r.select(F.explode(F.array(
+        *[entry("auc", c, "", rs.auc_of(F.col(f"of_{c}"), F.col("p"), F.col("n"))) for c in ("mutation", "composite", "churn")],
         entry("partial", "mutation", "churn", given_churn("mutation")), entry("partial", "composite", "churn", given_churn("composite")),
         entry("partial", "composite", "multi_core", many(CONTROLS[:4])), entry("partial", "composite", "multi_all", many(CONTROLS)),
-    )).alias("e"))
-    return aucs.unionByName(partials).select("e.*")
+    )).alias("e")).select("e.*")
 
 
 def induce_rate_by_quarter(feats: DataFrame) -> DataFrame:
@@ -92,12 +89,11 @@ def induce_rate_by_quarter(feats: DataFrame) -> DataFrame:
     long = feats.select(F.lit("mutation").alias("measure"), F.col("mutation").cast("double").alias("value"), "seq", "sha", "label")
     ranks = rs.value_ranks(long).select("measure", "value", ((F.col("rank2") - F.col("n") - 1) / 2).cast("bigint").alias("smaller"))
     # equal values are numbered in two steps, as one value (such as 0) may hold many of the commits
-    cuts = long.groupBy("value").agg(F.percentile_approx("seq", [i / rs.SPLITS for i in range(1, rs.SPLITS)], 500).alias("cuts"))
-    parted = long.join(cuts, "value").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("seq")))).drop("cuts")
+    placed = parted(long, "seq").withColumnRenamed("_part", "part")
     before = Window.partitionBy("value").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parted.groupBy("value", "part").agg(F.count(F.lit(1)).alias("t")).select("value", "part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
+    offsets = placed.groupBy("value", "part").agg(F.count(F.lit(1)).alias("t")).select("value", "part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
     own = F.row_number().over(Window.partitionBy("value", "part").orderBy("seq", "sha")) - 1
-    placed = parted.withColumn("own", own).join(offsets, ["value", "part"]).join(ranks, ["measure", "value"])
+    placed = placed.withColumn("own", own).join(offsets, ["value", "part"]).join(ranks, ["measure", "value"])
     total = feats.agg(F.count(F.lit(1)).alias("n")).scalar()
     quarter = rs.slice_of_four(F.col("smaller") + F.col("offset") + F.col("own"), total)
     return placed.withColumn("quarter", quarter + 1).groupBy("quarter").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("label").cast("double")).alias("rate"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestrata.operators import features, predictors, rankstats as rs, szz
 from lodestrata.plans.scalars import LATEST
+from lodestrata.session import cut
 from lodestrata.tables import table
 
 FRACTION = 0.75
@@ -141,13 +142,12 @@ def auc(spark, folder):
 
 def precision_at_k(spark, folder):
     """Precision and lift of the 10, 25 and 50 files of the largest impact, beside that of the largest churn."""
-    columns = _columns(spark, folder).select("file_id", "impact", "churn", "label")
+    columns = cut(_columns(spark, folder).select("file_id", "impact", "churn", "label"))
     base = columns.agg(F.avg(F.col("label").cast("double")).alias("base")).scalar()
-    parts = []
-    for k in (10, 25, 50):
-        impact, churn = rs.precision_at_k(columns, "impact", "label", "file_id", k), rs.precision_at_k(columns, "churn", "label", "file_id", k)
-        parts.append(impact.select(F.lit(k).alias("k"), F.round("value", 6).alias("by_impact"), F.round(churn.scalar(), 6).alias("by_churn"), F.round(F.try_divide(F.col("value"), base), 6).alias("lift")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    found = rs.precisions(columns, ["impact", "churn"], "label", "file_id", (10, 25, 50))
+    value = lambda score: F.max(F.when(F.col("score") == score, F.col("value")))
+    both = found.groupBy("k").agg(value("impact").alias("a"), value("churn").alias("b"))
+    return both.select("k", F.round("a", 6).alias("by_impact"), F.round("b", 6).alias("by_churn"), F.round(F.try_divide("a", base), 6).alias("lift"))
 
 
 def predictor_matrix(spark, folder):

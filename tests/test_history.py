@@ -153,26 +153,34 @@ def test_charts(spark):
 
 
 def test_last_before(spark):
-    """A key that half of all rows have, among others, nulls and gaps: as a window over the whole key gives it."""
+    """A key that half of all rows have, among others, null orders and gaps: as a window over the whole key gives it."""
     from pyspark.sql import Window
 
     from lodestrata.operators.order import last_before
 
     rng = random.Random(2)
-    rows = [("hot" if i % 2 else rng.choice(["a", "b", None]), rng.choice([rng.randint(0, 50), i]) if i % 97 else None, i, i if rng.random() < 0.3 else None) for i in range(3000)]
+    rows = [("hot" if i % 2 else rng.choice(["a", "b", "c"]), rng.choice([rng.randint(0, 50), i]) if i % 97 else None, i, i if rng.random() < 0.3 else None) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, seq bigint, id int, v int")
     whole = Window.partitionBy("k").orderBy("seq", "id").rowsBetween(Window.unboundedPreceding, -1)
     want = {(r.id, r.p) for r in df.withColumn("p", F.last("v", True).over(whole)).collect()}
-    found = last_before(df, "k", "seq", ["id"], "v", "p")
+    found = last_before(df, "k", "seq", ["id"], "v", "p", width=100)
+    assert {(r.id, r.p) for r in last_before(df, "k", "seq", ["id"], "v", "p").collect()} == want
     assert {(r.id, r.p) for r in found.collect()} == want and found.columns == ["k", "seq", "id", "v", "p"]
     assert last_before(df.limit(0), "k", "seq", ["id"], "v", "p").collect() == []
 
 
 def test_hot_key_is_split(spark):
-    from lodestrata.operators.order import parted
+    """One file has half of 200,000 rows: no task orders more than a few times what the median one does."""
+    from pyspark.sql import Window
+
+    from lodestrata.operators.order import last_before, parted
 
-    rows = spark.range(200_000).select((F.col("id") % 2).alias("k"), F.col("id").alias("seq"))
-    sizes = [r["count"] for r in parted(rows, "seq").groupBy("k", "_part").count().collect()]
+    rows = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("seq"), F.spark_partition_id().alias("v"))
+    found = last_before(rows, "k", "seq", [], "seq", "before", width=5_000)
+    sizes = sorted(r["count"] for r in found.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect())
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2]
+    assert found.where("k = 0 and seq > 0 and before <> seq - 2").count() == 0 and found.where("before is null").count() == 100_001
+    sizes = [r["count"] for r in parted(rows, "seq").groupBy("_part").count().collect()]
     assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
 
 
