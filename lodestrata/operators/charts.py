@@ -56,3 +56,19 @@ def downsample(points: DataFrame, cap: int = MOST_POINTS) -> DataFrame:
     counts = points.agg(F.count_if(~F.col("bug")).alias("blues"), F.count_if("bug").alias("reds"))
     step = counts.select(_stride(F.col("blues"), F.col("reds"), cap).alias("s")).scalar()
     return points.where("bug").unionByName(blues.withColumn("_s", step).where("_blue % _s = 0").drop("_blue", "_s"))
+
+
+def chart_cells(series: DataFrame, columns: int = 240, rows: int = 48) -> DataFrame:
+    """(metric, scale, most, total, bug, column, row, n): how many points of each metric fall in each cell of its chart.
+
+    A chart has as many cells whatever the length of history, so what is drawn is bounded and no point is left out:
+    columns are equal stretches of history, rows equal stretches of the value, or of its logarithm, up to the largest.
+    """
+    total = series.agg((F.max("idx") + 1).alias("t")).scalar()
+    scales = axis_scale(series).join(series.groupBy("metric").agg(F.max("value").alias("most")), "metric")
+    level = F.when(F.col("scale") == "log", F.log1p(F.col("value").cast("double")) / F.log1p(F.col("most").cast("double"))).otherwise(F.col("value") / F.col("most"))
+    cell = lambda share, cells: F.greatest(F.lit(0), F.least(F.floor(F.coalesce(share, F.lit(0.0)) * cells), F.lit(cells - 1))).cast("int")
+    placed = series.join(F.broadcast(scales), "metric").withColumn("total", total).select(
+        "metric", "scale", "most", "total", "bug", cell(F.col("idx") / F.col("total"), columns).alias("column"), cell(F.when(F.col("most") > 0, level), rows).alias("row")
+    )
+    return placed.groupBy("metric", "scale", "most", "total", "bug", "column", "row").agg(F.count(F.lit(1)).alias("n"))

@@ -100,7 +100,7 @@ QUERIES = {
 
 _EXT = "CASE WHEN strpos(path, '.') > 0 THEN lower('.' || string_split(path, '.')[-1]) ELSE '' END"
 _LANGUAGE = (
-    "CASE ext " + " ".join(f"WHEN '{e}' THEN '{l}'" for e, l in paths.extension_languages().items()) + " END"
+    "CASE ext " + " ".join(f"WHEN '{e}' THEN '{l}'" for e, l in paths.EXTENSION_LANGUAGES.items()) + " END"
 )
 
 
@@ -111,7 +111,7 @@ def _like(glob: str) -> str:
 
 _IGNORED = "(" + " OR ".join(_like(g) for g in [*paths.IGNORE_GLOBS, *[g[3:] for g in paths.IGNORE_GLOBS]]) + ")"
 _TEST = "(" + " OR ".join(_like(g) for g in paths.TEST_GLOBS) + ")"
-_SOURCE = f"(NOT {_IGNORED} AND {_EXT} IN ({', '.join(repr(e) for e in paths.extension_languages())}))"
+_SOURCE = f"(NOT {_IGNORED} AND {_EXT} IN ({', '.join(repr(e) for e in paths.EXTENSION_LANGUAGES)}))"
 _DISTINCT = "(SELECT DISTINCT path FROM file_changes WHERE path IS NOT NULL)"
 _MESSAGE = "regexp_replace(coalesce(subject, '') || chr(10) || coalesce(body, ''), '^\\s+|\\s+$', '', 'g')"
 _FIX = f"regexp_matches(m, '(?i)\\b({'|'.join(messages.FIX_WORDS)})\\b')"

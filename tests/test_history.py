@@ -191,3 +191,16 @@ def test_range_of(spark):
         cuts = list(range(10, 10 * ranges, 10))
         df = spark.range(0, 10 * ranges + 11).select("id", F.array(*[F.lit(c) for c in cuts]).alias("cuts"))
         assert all(r.p == sum(c < r.id for c in cuts) for r in df.select("id", range_of(F.col("id"), F.col("cuts"), ranges).alias("p")).collect())
+
+
+def test_chart_cells_are_bounded(spark):
+    """More bugs than any chart has cells: all are counted, few rows come out."""
+    rows = spark.range(60_000).select(
+        F.lpad(F.col("id").cast("string"), 8, "0").alias("sha"), F.col("id").alias("seq"), (F.col("id") % 3 > 0).alias("is_fix"), F.lit(False).alias("is_revert"),
+        F.lit("e").alias("email"), F.lit("a").alias("author"), F.lit("s").alias("subject"), F.col("id").alias("ts"), F.lit(None).cast("timestamp").alias("ingested_at"), F.lit(False).alias("is_merge"),
+        *[(F.col("id") * F.col("id") % 1009).alias(m) for m in charts.METRICS],
+    )
+    cells = charts.chart_cells(charts.commit_series(rows), 50, 20).collect()
+    assert len(cells) <= len(charts.METRICS) * 50 * 20 * 2 and sum(c.n for c in cells) == 60_000 * len(charts.METRICS)
+    assert {c.total for c in cells} == {60_000} and max(c.column for c in cells) == 49 and max(c.row for c in cells) == 19
+    assert charts.chart_cells(charts.commit_series(rows.limit(0)), 50, 20).collect() == []

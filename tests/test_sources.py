@@ -5,8 +5,9 @@ from pathlib import Path
 
 import pytest
 
+from lodestrata.__main__ import arguments, epoch, main
 from lodestrata.plans import report
-from lodestrata.sources import git, parsers
+from lodestrata.sources import files, git, parsers
 from lodestrata.sources.config import load_config
 from lodestrata.sources.ingest import ingest
 from lodestrata.streaming import changes
@@ -69,9 +70,14 @@ def test_diffs(spark, repo):
     assert found[5, "side.py"].status == "A" and found[0, "k.py"].old_oid is None
 
 
-def test_quoting():
-    assert git.unquote('"a\\303\\274\\tb"') == "aü\tb" and git.unquote("a b\t") == "a b"
+def test_hunks():
     assert git.hunk("@@ -5 +5,2 @@") == (5, 1, 5, 2) and git.hunk("@@ x") is None
+    patch = "diff --git a/x b/x\n@@ -1,2 +1,1 @@ f\n--- diff --git\n-@@ -9 +9 @@\n+diff --git a b\n@@ -7,0 +8 @@\n+Binary files\n\\ No newline at end of file\ndiff --git a/b b/b\nBinary files a/b and b/b differ\ndiff --git a/m b/m\nold mode 1\n"
+    assert git.patch_hunks(patch) == [(False, [(1, 2, 1, 1), (7, 0, 8, 1)]), (True, []), (False, [])]
+    assert git.patch_hunks("") == [] and git.changed_files("") == []
+    listing = ":100644 100644 aa bb R090\0old name\0new\tname\0:100644 000000 cc 00 D\0gone\0:100644 120000 dd ee T\0kind"
+    got = git.raw_entries(listing)
+    assert [(e["status"], e["old_path"], e["new_path"], e["new_oid"], e["parts"]) for e in got] == [("R", "old name", "new\tname", "bb", 1), ("D", "gone", None, None, 1), ("M", "kind", "kind", "ee", 2)]
 
 
 def test_parsers():
@@ -84,33 +90,56 @@ def test_parsers():
     assert parsers.parse_units("", "a.zz", ".zz") == [("u", "", 1, 1, 1, 1)] and parsers.get_parser(".zz")[0] == "none"
 
 
-def test_ingest_and_reports(spark, repo, tmp_path):
+def test_ingest_and_reports(spark, repo, tmp_path, monkeypatch):
     out = str(tmp_path / "history")
-    first = {n: sorted(map(str, d.collect())) for n, d in ingest(spark, repo, out).items()}
+    monkeypatch.setattr(git, "LOG_PART", 4)
+    seen = []
+    write = files.write_text
+    monkeypatch.setattr(files, "write_text", lambda s, path, text: (seen.append(text) if path.endswith("progress") else None, write(s, path, text)))
+    first = {n: sorted(map(str, d.collect())) for n, d in ingest(spark, repo, out, progress_path=str(tmp_path / "progress")).items()}
+    assert seen[0] == "0 6\n" and seen[-1] == "6 6\n" and seen.count("6 6\n") == 1 and len(seen) > 5
     diffs = spark.read.parquet(f"{out}/file_diffs.parquet").count()
-    again = {n: sorted(map(str, d.collect())) for n, d in ingest(spark, repo, out, progress_path=str(tmp_path / "progress")).items()}
-    assert (tmp_path / "progress").read_text() == "6 6\n"
-    state = git.snapshot_state(spark, repo, "HEAD", spark.read.parquet(f"{out}/file_alias.parquet"), spark.read.parquet(f"{out}/blob_cache.parquet"))
-    alias = {r.path: r.file_id for r in spark.read.parquet(f"{out}/file_alias.parquet").collect()}
+    monkeypatch.setattr(git, "run_git", lambda r, *a, run=git.run_git, **k: pytest.fail("blamed again") if a[0] == "blame" else run(r, *a, **k))
+    again = {n: sorted(map(str, d.collect())) for n, d in ingest(spark, repo, out).items()}
+    assert first == again and spark.read.parquet(f"{out}/file_diffs.parquet").count() == diffs
+    now = files.history_folder(spark, out)
+    read = lambda name: spark.read.parquet(f"{now}/{name}.parquet")
+    state = git.snapshot_state(spark, repo, "HEAD", read("file_alias"), spark.read.parquet(f"{out}/blob_cache.parquet"))
+    alias = {r.path: r.file_id for r in read("file_alias").collect()}
     sizes = {r.file_id: (r.size, r.wmc) for r in state.collect()}
     assert sizes[alias["side.py"]] == (len("def s():\n    return 0\n"), 1.0) and sizes[alias["a.lua"]][0] == 12
-    assert first == again and spark.read.parquet(f"{out}/file_diffs.parquet").count() == diffs
-    alias = {r.path: r.file_id for r in spark.read.parquet(f"{out}/file_alias.parquet").collect()}
     assert alias["k.py"] == alias["b c.py"] and len(set(alias.values())) == len(alias) - 1
-    units = {(r.unit, r.kind): (r.cc, r.dlines, r.cost) for r in spark.read.parquet(f"{out}/unit_changes.parquet").collect()}
+    units = {(r.unit, r.kind): (r.cc, r.dlines, r.cost) for r in read("unit_changes").collect()}
     assert units["K::one", "godclass"] == (3, 4, 12) and units["K::one", "mutation"] == (3, 2, 6)
     log = git.log_rows(repo)
-    links = {(r.fix_sha, r.inducing_sha) for r in spark.read.parquet(f"{out}/bug_links.parquet").collect()}
+    links = {(r.fix_sha, r.inducing_sha) for r in read("bug_links").collect()}
     assert links == {(log[1][0], log[0][0])}
-    merge = spark.read.parquet(f"{out}/commits.parquet").where("is_merge").first()
+    merge = read("commits").where("is_merge").first()
     assert merge.files_changed == 1 and merge.impact_composite == 2
     with pytest.raises(ValueError):
         ingest(spark, repo, out, wmc_context="after")
-    stats = report.analyze(spark, out, f"{out}-report")
-    assert stats["n_files"] > 0 and json.loads(Path(f"{out}-report/stats.json").read_text())["name"] == "history"
+    stats = report.analyze(spark, out, f"{out}-report", repo=repo)
+    assert stats["n_files"] > 0 and stats["max_cc"] == 3 and json.loads(Path(f"{out}-report/stats.json").read_text())["name"] == "history"
     assert "## Signals and fixes" in Path(f"{out}-report/report.md").read_text() and "<svg" in Path(f"{out}-report/commits.html").read_text()
-    ranking = report.summarize(spark, str(tmp_path / "*-report/stats.json"), str(tmp_path))
-    assert [r.repo for r in ranking.collect()] == ["history"] and "repositories: 1" in (tmp_path / "summary.md").read_text()
+    rows = report.summarize(spark, str(tmp_path / "*-report/stats.json"), str(tmp_path))
+    assert [(r.repo, r.commits, r.n_inducing, r.max_cc) for r in rows.collect()] == [("history", 6, 1, 3)] and len(rows.columns) == 29
+    assert "repositories: 1" in (tmp_path / "summary.md").read_text() and "| history | 6 |" in (tmp_path / "summary.md").read_text()
+
+
+def test_command_line(spark, repo, tmp_path):
+    assert main(["analyze", str(tmp_path / "nothing")]) == 2 and main(["analyze-all", str(tmp_path)]) == 2
+    args = arguments().parse_args(["scan", "r", "--fresh", "--max-commits", "3", "--ignore", "a", "--ignore", "b"])
+    assert (args.repo, args.fresh, args.max_commits, args.ignore, args.until) == ("r", True, 3, ["a", "b"], "HEAD")
+    assert arguments().parse_args(["analyze-all"]).folder and epoch("1970-01-02") == 86_400
+    out = str(tmp_path / "h")
+    assert main(["scan", repo, "--out", out, "--no-szz"]) == 0 and main(["scan", repo, "--out", out, "--no-szz", "--fresh"]) == 0
+    assert main(["analyze", out]) == 0 and (tmp_path / "h-report" / "report.md").exists()
+
+
+def test_numbers():
+    assert [report.human(v) for v in (0, 12.4, 999, 1000, 25_300, 1e6, 4.2e9, 7e12)] == ["0", "12", "999", "1.0k", "25.3k", "1.0M", "4.2G", "7000.0G"]
+    assert [report.number(v) for v in (None, float("nan"), 0.12345)] == ["n/a", "n/a", "0.123"]
+    assert [report.chosen_ks(n) for n in (0, 5, 9, 30, 60)] == [[], [1], [1], [10, 25], [10, 25, 50]]
 
 
 def test_config(tmp_path):
