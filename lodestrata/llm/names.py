@@ -183,14 +183,18 @@ def _node(kind: str, *columns: str):
 
 def _short_forms(nicknames: DataFrame) -> DataFrame:
     """(short, name) of the given table, lower-cased; nulls and blanks left out."""
-    folded = F.udf(lambda s: fold(s) if s else None, "string")
+
+    @F.pandas_udf("string")
+    def folded(names: pd.Series) -> pd.Series:
+        return pd.Series([fold(s) if s else None for s in names], dtype="object")
+
     pairs = nicknames.select(folded("short_form").alias("short"), folded("name").alias("name"))
     return pairs.where("short <> '' and name <> '' and short <> name").distinct()
 
 
-def _learned_forms(parsed: DataFrame) -> DataFrame:
-    """(short, name) seen for the same last name under one mailbox, of several people."""
-    own = parsed.where("box is not null").select("box", F.explode("names").alias("n")).where(F.col("n")[2] == "author").select("box", F.col("n")[0].alias("first"), F.col("n")[1].alias("last")).distinct()
+def _learned_forms(personal: DataFrame) -> DataFrame:
+    """(short, name) seen for the same last name under one mailbox, of several people; `personal` has no shared mailbox."""
+    own = personal.select("box", F.explode("names").alias("n")).where(F.col("n")[2] == "author").select("box", F.col("n")[0].alias("first"), F.col("n")[1].alias("last")).distinct()
     other = own.withColumnRenamed("first", "other")
     counted = (
         own.join(other, ["box", "last"]).where("first <> other")
@@ -252,10 +256,20 @@ def _known(names: DataFrame, forms: DataFrame) -> DataFrame:
     return often.unionByName(forms.select(F.col("name").alias("token"))).distinct()
 
 
-def _codes(word: str) -> list[str]:
-    """Phonetic codes of a token read forwards and backwards; of a short one also what one lost letter leaves."""
-    less = [f"-{word[:i]}{word[i + 1:]}" for i in range(len(word))] + [f"-{word}"] if len(word) <= 12 else []
-    return list(dict.fromkeys([f">{soundex(word)}", f"<{soundex(word[::-1])}", *less]))
+def _codes(word: str, given: bool) -> list[str]:
+    """Second halves of block keys: any two words of which `_compare` may accept one for the other share one.
+
+    A given name has its phonetic codes, read forwards and backwards, each together with its first three letters, as
+    only those with the same ones are accepted by sound. Words one slip apart share what one lost letter leaves of
+    both; of long ones, which would leave much, the phonetic codes.
+    """
+    codes = [f">{soundex(word)}", f"<{soundex(word[::-1])}"]
+    out = [f"{c}|{word[:3]}" for c in codes] if given else []
+    if len(word) >= 12:
+        out += codes
+    if len(word) <= 12:
+        out += [f"-{word[:i]}{word[i + 1:]}" for i in range(len(word))] + [f"-{word}"]
+    return list(dict.fromkeys(out))
 
 
 def name_links(names: DataFrame, forms: DataFrame) -> DataFrame:
@@ -263,11 +277,16 @@ def name_links(names: DataFrame, forms: DataFrame) -> DataFrame:
 
     `names` has (node, first, last). Each name enters a block per token that it has in full and per phonetic code
     of the other: the codes of sorted tokens, with the more telling one exact. Distinct names are compared, not
-    signatures or rows, so a block holds the few different spellings that agree in a whole token and sound alike.
+    signatures or rows, so a block holds the few different spellings that agree in a whole token and sound alike;
+    a second code (`_codes`) parts the blocks of frequent names without losing a pair that could be accepted.
     """
     listed = forms.select(F.col("name").alias("token"), F.lit(True).alias("listed")).distinct()
     standing = _partners(names).join(listed, "token", "left")
-    codes = F.udf(_codes, "array<string>")
+
+    @F.pandas_udf("array<string>")
+    def codes(word: pd.Series, given: pd.Series) -> pd.Series:
+        return pd.Series([_codes(w, g) for w, g in zip(word, given, strict=True)])
+
     whole = names.join(forms, F.col("first") == F.col("short"), "left").groupBy("node", "first", "last").agg(F.collect_set("name").alias("long"))
     given, family = F.lit(True).alias("given"), F.lit(False).alias("given")
     by_first = whole.select("node", F.explode(F.array_union(F.array("first"), "long")).alias("exact"), F.col("last").alias("word"), family)
@@ -276,7 +295,7 @@ def name_links(names: DataFrame, forms: DataFrame) -> DataFrame:
         by_first.unionByName(by_last).distinct()
         .join(standing, F.col("word") == F.col("token"), "left").drop("token")
         .withColumns({"many": F.coalesce("n", F.lit(0)), "listed": F.coalesce("listed", F.lit(False))}).drop("n")
-        .withColumn("code", F.explode(codes("word")))
+        .withColumn("code", F.explode(codes("word", "given")))
         .distinct()
     )
     left = entries.select("exact", "code", F.col("node").alias("a"), F.col("word").alias("x"), F.col("many").alias("x_many"), F.col("listed").alias("x_listed"), F.col("given").alias("x_given"))
@@ -302,16 +321,18 @@ def link_people(commits: DataFrame, nicknames: DataFrame) -> DataFrame:
     named = parsed.select("sig", "box", F.explode("names").alias("n")).select("sig", "box", F.col("n")[0].alias("first"), F.col("n")[1].alias("last"), F.col("n")[2].alias("source"))
     named = cut(_oriented(named).withColumn("node", F.concat_ws(" ", F.lit("n"), F.least("first", "last"), F.greatest("first", "last"))))
     names = named.select("node", "first", "last").distinct()
-    forms = cut(_short_forms(nicknames).unionByName(_learned_forms(parsed)).distinct())
     shared = (
         named.where("box is not null").groupBy("box")
         .agg(F.count_distinct(F.substring("last", 1, 2)).alias("lasts"), F.count_distinct(F.substring("first", 1, 1)).alias("firsts"))
         .where((F.col("lasts") >= SHARED_FROM) & (F.col("firsts") >= SHARED_FROM)).select("box")
     )
+    shared = cut(shared)
+    personal = parsed.where("box is not null").join(shared, "box", "left_anti")
+    forms = cut(_short_forms(nicknames).unionByName(_learned_forms(personal)).distinct())
     s = F.concat(F.lit("s "), "sig")
     edges = (
         parsed.select(s.alias("a"), s.alias("b"))
-        .unionByName(parsed.where("box is not null").join(shared, "box", "left_anti").select(s.alias("a"), F.concat(F.lit("m "), "box").alias("b")))
+        .unionByName(personal.select(s.alias("a"), F.concat(F.lit("m "), "box").alias("b")))
         .unionByName(named.select(s.alias("a"), F.col("node").alias("b")))
         .unionByName(name_links(names, forms))
     )

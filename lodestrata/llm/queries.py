@@ -40,7 +40,7 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     sizes = cut(tokens.count_tokens(table(spark, folder, "documents"), tokens.rank_file(spark)))
-    capacities = [(r.pack_name, r.capacity) for r in table(spark, folder, "pack_sizes").where("capacity > 0").select("pack_name", "capacity").distinct().collect()]
+    capacities = [(r.pack_name, r.capacity) for r in table(spark, folder, "pack_sizes").select("pack_name", "capacity").distinct().collect()]
     return packing.pack_items(sizes, sorted(capacities))
 
 

@@ -176,10 +176,10 @@ def section_languages(parts: DataFrame, models: DataFrame, key: str) -> DataFram
 def _yardsticks(prose: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
     middle = prose.groupBy(*by).agg(F.count(F.lit(1)).alias("many"), *[F.percentile_approx(m, 0.5, 1000).alias(f"mid_{m}") for m in measures])
     off = prose.join(middle, by)
-    spread = off.groupBy(*by).agg(
+    widths = off.groupBy(*by).agg(
         *[F.greatest(F.percentile_approx(F.abs(F.col(m) - F.col(f"mid_{m}")), 0.5, 1000) * 1.4826, F.lit(LEAST_SPREAD)).alias(f"dev_{m}") for m in measures]
     )
-    return middle.join(spread, by)
+    return middle.join(widths, by)
 
 
 def _all_lengths(near: DataFrame, measures: list[str]) -> DataFrame:

@@ -13,6 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.session import spread
+
 #: Where the public vocabularies lie, unless the session names another folder.
 FOLDER, FOLDER_SETTING = "/opt/tokenizers", "lodestrata.tokenizers"
 # Fixed value: the pre-splitting pattern that belongs to the public byte-level vocabulary.
@@ -75,7 +77,8 @@ def encode(documents: DataFrame, ranks: bytes, key: str = "doc_id", text: str =
     """(key, ids array<int>) of each row: its text's ids without special tokens.
 
     Null and empty texts give the empty list; blank ones are encoded as they are. Repeated keys give a row each.
-    Whole texts are encoded, long ones piece by piece, in the tasks that read them: there is no shuffle.
+    Whole texts are encoded, long ones piece by piece, in the tasks that read them: there is no shuffle
+    (only a table in fewer files than there are cores is spread out first).
     """
     source = _keep(documents, key, text)
 
@@ -87,7 +90,7 @@ def encode(documents: DataFrame, ranks: bytes, key: str = "doc_id", text: str =
             values = pa.array(np.concatenate(ids).astype("int32") if ids else np.array([], "int32"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype("int32")), values)], names=[key, "ids"])
 
-    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<int>")
+    return spread(source).mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, ranks: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,7 +103,7 @@ def count_tokens(documents: DataFrame, ranks: bytes, key: str = "doc_id", text:
             sizes = np.array([len(encode_text(bpe, t.as_py())) for t in batch.column(1)], dtype="int64")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes)], names=[key, "n_tokens"])
 
-    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, n_tokens bigint")
+    return spread(source).mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, n_tokens bigint")
 
 
 @lru_cache(maxsize=4)

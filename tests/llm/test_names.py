@@ -86,3 +86,19 @@ def test_slips_stay_slips_among_many_people(spark):
         people[x].append((f"Harlod {x}", None))
     got = {(r.sig_a, r.sig_b) for r in n.signature_pairs(link(spark, people)).collect()}
     assert got == {tuple(sorted((sig(f"Harold {x}", None), sig(f"Harlod {x}", None)))) for x in lasts[::8]}
+
+
+def test_codes_lose_no_pair():
+    """Words that could be accepted as spellings of each other share a block, whatever their length."""
+    import random
+
+    rng = random.Random(3)
+    words = {"".join(rng.choice("abdeilmnort") for _ in range(rng.choice([1, 2, 3, 5, 8, 11, 12, 13, 14]))) for _ in range(150)}
+    for w in words:
+        for i in range(len(w)):
+            for v in (w[:i] + w[i + 1 :], w[:i] + "x" + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]):
+                assert v == w or not v or not n.one_slip(w, v) or max(len(w), len(v)) > 12 or set(n._codes(w, False)) & set(n._codes(v, False))
+        longer = w[:3] + "sound"
+        same = n.soundex(w) == n.soundex(longer)
+        assert not same or set(n._codes(w, True)) & set(n._codes(longer, True))
+    assert not any(c[0] in "<>" for c in n._codes("makesidge", False))
