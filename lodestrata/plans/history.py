@@ -170,6 +170,18 @@ _RSPLIT = """rt AS (SELECT DISTINCT repo, sha, ts FROM file_changes JOIN ids USI
 rs AS (SELECT repo, list_sort(list(ts))[CAST(least(count(*) - 1, floor(count(*) * 0.75)) AS BIGINT) + 1] AS split_ts FROM rt GROUP BY 1 HAVING count(*) >= 20)"""
 _L = "coalesce(add_lines, 0) + coalesce(del_lines, 0)"
 
+# events and assignments are numbered in their order; a chain is walked from each assignment to its first parent
+_CHAINS = """WITH RECURSIVE r AS (SELECT file_id, seq, path, max(status) AS status FROM file_changes WHERE file_id IS NOT NULL AND path <> '' AND seq IS NOT NULL GROUP BY 1, 2, 3),
+o AS (SELECT *, lag(path) OVER (PARTITION BY file_id ORDER BY seq, path) AS old FROM r),
+e AS (SELECT seq, path, max(CASE WHEN status = 'R' AND old <> path THEN old END) AS rename_from FROM o GROUP BY 1, 2),
+k AS (SELECT path, rename_from, row_number() OVER (ORDER BY seq, path) AS k FROM e),
+a AS (SELECT * FROM k WHERE rename_from IS NOT NULL UNION SELECT * FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY path ORDER BY k) = 1)),
+l AS (SELECT k, path, (SELECT max(b.k) FROM a b WHERE b.path = a.rename_from AND b.k < a.k) AS from_old, (SELECT max(b.k) FROM a b WHERE b.path = a.path AND b.k < a.k) AS from_own FROM a),
+p AS (SELECT k, path, from_old IS NOT NULL AS renamed, coalesce(from_old, from_own, k) AS parent FROM l),
+w AS (SELECT k, parent AS root FROM p UNION ALL SELECT w.k, p.parent FROM w JOIN p ON p.k = w.root WHERE p.parent <> w.root),
+c AS (SELECT k, min(root) AS root, any_value(path) AS path, any_value(renamed) AS renamed FROM w JOIN p USING (k) GROUP BY 1),
+d AS (SELECT k AS root, path AS first_path, row_number() OVER (ORDER BY k) AS id FROM c WHERE k = root)"""
+
 ORACLE = {
     "container_wmc": f"WITH {_U} SELECT sha, file_id, container, CAST(sum(coalesce(cc, 0)) AS BIGINT) AS wmc FROM u GROUP BY 1, 2, 3",
     "wmc_after": f"WITH {_U} SELECT sha, file_id, unit, cc, CAST(greatest(sum(coalesce(cc, 0)) OVER (PARTITION BY sha, file_id, container) - coalesce(cc, 0), 0) AS BIGINT) AS wmc_after FROM u",
@@ -189,6 +201,9 @@ CAST(sum(coalesce(godclass_cost, 0)) AS BIGINT) AS impact_godclass FROM file_cha
     "distinct_versions": f"""WITH u0 AS (SELECT * FROM unit_changes WHERE sha IS NOT NULL AND file_id IS NOT NULL AND unit IS NOT NULL), lc AS (SELECT sha, seq FROM {LATEST}),
 v AS (SELECT md5(concat_ws('|', unit, container, CAST(cc AS VARCHAR))) AS oid, seq, max(seq) OVER () / 2 AS m FROM u0 JOIN lc USING (sha))
 SELECT DISTINCT oid FROM v WHERE seq > m AND oid NOT IN (SELECT oid FROM v WHERE seq <= m)""",
+    "file_identity": f"{_CHAINS} SELECT c.path, d.id AS file_id FROM (SELECT path, arg_max(root, k) AS root FROM c GROUP BY 1) c JOIN d USING (root)",
+    "canonical_paths": f"""{_CHAINS} SELECT id, coalesce(last_path, first_path) AS canonical_path
+FROM d LEFT JOIN (SELECT root, arg_max(path, k) AS last_path FROM c WHERE renamed GROUP BY 1) USING (root)""",
     "commit_series": f"WITH {_SERIES} {_LONG}",
     "axis_scale": f"""WITH {_SERIES}, l AS ({_LONG}), p AS (SELECT metric, list_sort(list(value)) AS vs FROM l WHERE value > 0 GROUP BY 1)
 SELECT l.metric, CASE WHEN max(value) / CAST(greatest(any_value(vs)[len(any_value(vs)) // 2 + 1], 1) AS DOUBLE) > 50 THEN 'log' ELSE 'linear' END AS scale FROM l LEFT JOIN p USING (metric) GROUP BY 1""",

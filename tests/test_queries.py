@@ -19,3 +19,13 @@ def test_query(spark, data, name):
 
 def test_repo_ranking(spark, data):
     assert spark_rows(registry.QUERIES["repo_ranking"](spark, data)) == sql_rows(connect(data), registry.ORACLE["repo_ranking"])
+
+
+def test_cross_repo_summary(spark, data):
+    columns, rows = spark_rows(registry.QUERIES["cross_repo_summary"](spark, data))
+    at = {c: i for i, c in enumerate(columns)}
+    assert rows and all(r[at["least"]] <= r[at["median"]] <= r[at["most"]] and 0 <= r[at["n_positive"]] <= r[at["n_repos"]] for r in rows)
+    ranking = spark_rows(registry.QUERIES["repo_ranking"](spark, data))
+    known = sorted(r[ranking[0].index("partial_mut")] for r in ranking[1] if r[ranking[0].index("partial_mut")] is not None)
+    mine = next(r for r in rows if (r[at["metric"]], r[at["predictor"]], r[at["control"]]) == ("partial", "impact", "churn"))
+    assert mine[at["n_repos"]] == len(known) and abs(mine[at["median"]] - known[len(known) // 2]) < 1e-6 and mine[at["n_positive"]] == sum(v > 0 for v in known)
