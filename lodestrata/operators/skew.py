@@ -19,15 +19,20 @@ class Measure:
     merge: str = "sum"
 
 
+#: The least share of the rows that a key can be found by, as a summary keeps at most 1 / share keys.
+LEAST_SHARE = 1e-4
+
+
 def heavy_candidates(rows: DataFrame, key: str, share: float) -> list:
     """Every key that may hold at least `share` of the rows, and perhaps some that do not.
 
     One pass with a frequent-items summary. It keeps at most 1/share keys, whatever the size of the data, and is
-    proven to contain each key above the share; null is left out. This bounds what reaches the driver.
+    proven to contain each key above the share; null is left out. This bounds what reaches the driver. A share
+    below LEAST_SHARE is refused, as the summary cannot keep so many keys.
     """
-    if not 0 < share < 1:
-        raise ValueError("share must lie between 0 and 1")
-    found = rows.select(F.col(key).alias(KEY)).where(F.col(KEY).isNotNull()).freqItems([KEY], max(share, 1e-4)).first()
+    if not LEAST_SHARE <= share < 1:
+        raise ValueError(f"share must lie between {LEAST_SHARE} and 1")
+    found = rows.select(F.col(key).alias(KEY)).where(F.col(KEY).isNotNull()).freqItems([KEY], share).first()
     return [k for k in (found[0] or []) if k is not None] if found else []
 
 
