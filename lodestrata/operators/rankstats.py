@@ -65,21 +65,19 @@ def correlations(ranks: DataFrame, measures: Sequence[str], by: Sequence[str] =
     """
     pairs = list(pairs or [(i, j) for i in range(len(measures)) for j in range(i, len(measures))])
     pairs = sorted({*pairs, *[(i, i) for pair in pairs for i in pair]})
-    x = {i: F.col(measures[i]).cast("bigint") for pair in pairs for i in pair}
-    half = lambda i, j: [F.sum(F.shiftright(x[i] * x[j], 32)).alias(f"h_{i}_{j}"), F.sum((x[i] * x[j]).bitwiseAND(F.lit(_HALF - 1))).alias(f"l_{i}_{j}")]
-    sums = ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{i}") for i, c in x.items()], *[c for i, j in pairs for c in half(i, j)], *more)
-    big = lambda c: F.col(c).cast("decimal(38,0)")
-    whole = lambda i, j: F.col(f"h_{i}_{j}").cast("decimal(20,0)") * F.lit(_HALF).cast("decimal(11,0)") + big(f"l_{i}_{j}")
-    spread = lambda i, j: (F.col("n").cast("decimal(20,0)") * whole(i, j).cast("decimal(38,0)") - big(f"s_{i}") * big(f"s_{j}")).cast("double")
-    kept = [c for c in sums.columns if c not in by and c != "n" and not c.startswith(("h_", "l_"))]
-    kept = [c for c in kept if c not in {f"s_{i}" for i in x}]
-    moments = sums.select(*by, "n", *kept, *[spread(i, j).alias(f"c_{i}_{j}") for i, j in pairs])
-
-    def r(i: int, j: int) -> Column:
-        root = F.sqrt(F.col(f"c_{i}_{i}") * F.col(f"c_{j}_{j}"))
-        return F.when(root > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"c_{i}_{j}") / root)))
-
-    return moments.select(*by, "n", *kept, *[r(i, j).alias(f"r_{i}_{j}") for i, j in pairs])
+    used = sorted({i for pair in pairs for i in pair})
+    # as SQL text, in few expressions: a column object for each step of each pair takes longer to build than to compute
+    product = lambda i, j: f"(CAST(`{measures[i]}` AS BIGINT) * CAST(`{measures[j]}` AS BIGINT))"
+    halves = [x for i, j in pairs for x in (f"sum(shiftright({product(i, j)}, 32)) AS h_{i}_{j}", f"sum({product(i, j)} & {_HALF - 1}L) AS l_{i}_{j}")]
+    totals = [f"sum(CAST(`{measures[i]}` AS BIGINT)) AS t_{i}" for i in used]
+    sums = ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.expr(x) for x in totals + halves], *more)
+    kept = sums.columns[len(by) + 1 + len(totals) + len(halves) :]
+    whole = lambda i, j: f"CAST(CAST(h_{i}_{j} AS DECIMAL(20, 0)) * {_HALF}BD + CAST(l_{i}_{j} AS DECIMAL(38, 0)) AS DECIMAL(38, 0))"
+    spread = lambda i, j: f"CAST(CAST(n AS DECIMAL(20, 0)) * {whole(i, j)} - CAST(t_{i} AS DECIMAL(38, 0)) * CAST(t_{j} AS DECIMAL(38, 0)) AS DOUBLE) AS c_{i}_{j}"
+    names = [f"`{c}`" for c in (*by, "n", *kept)]
+    moments = sums.selectExpr(*names, *[spread(i, j) for i, j in pairs])
+    r = lambda i, j: f"CASE WHEN sqrt(c_{i}_{i} * c_{j}_{j}) > 0 THEN greatest(-1D, least(1D, c_{i}_{j} / sqrt(c_{i}_{i} * c_{j}_{j}))) END AS r_{i}_{j}"
+    return moments.selectExpr(*names, *[r(i, j) for i, j in pairs])
 
 
 def partial_of(rxy: Column, rxz: Column, ryz: Column) -> Column:
