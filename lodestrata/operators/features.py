@@ -142,6 +142,15 @@ def universe(features: DataFrame, exclude_tests: bool = True) -> DataFrame:
     return known.where("not is_test") if exclude_tests else known
 
 
+#: What a list of files shows of each.
+LISTED = ["path", "lang", "impact_mut", "impact_comp", "churn", "n_commits", "n_authors", "max_cc", "hotspot", "fix_all", "fix_after", "is_test"]
+
+
+def by_impact(universe: DataFrame) -> DataFrame:
+    """Files by falling impact; ties in order of their ids."""
+    return universe.orderBy(F.desc("impact_mut"), "file_id")
+
+
 def snapshot(changes: DataFrame, units: DataFrame, commits: DataFrame, split_ts: int | str | None = None) -> DataFrame:
     """(file_id, size, wmc): the state of files at the split as far as the relations tell it.
 

@@ -193,6 +193,22 @@ def precisions(df: DataFrame, scores: Sequence[str], label: str, order: str, ks:
     return placed.select("score", "label", F.explode(asked).alias("k")).groupBy("k", "score").agg(F.avg("label").alias("value"))
 
 
+def group_precisions(df: DataFrame, scores: Sequence[str], label: str, order: str, by: Sequence[str], ks: Sequence[int] = (10, 25, 50)) -> DataFrame:
+    """(by, k, score, value): precision of each group's best rows at those of `ks` that the group fills, else at a tenth of its rows, but at least 1.
+
+    Ties go to the smaller `order`; rows without a score come last. Only the first max(ks) places of a group are asked
+    for, so each task sends no more than that of a group, however many rows one has.
+    """
+    long = df.select(*by, order, F.col(label).cast("double").alias("label"), F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("by")) for s in scores])).alias("s"))
+    place = F.row_number().over(Window.partitionBy(*by, "s.score").orderBy(F.desc_nulls_last("s.by"), order))
+    best = long.select(*by, "s.score", "label", place.alias("place")).where(F.col("place") <= max(ks))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    filled = F.filter(F.array(*[F.lit(k) for k in sorted(ks)]), lambda k: k <= F.col("n"))
+    chosen = F.when(F.size(filled) > 0, filled).otherwise(F.array(F.greatest(F.lit(1), F.floor(F.col("n") / 10)).cast("int")))
+    asked = best.join(sizes.select(*by, chosen.alias("ks")), list(by)).select(*by, "score", "label", F.explode(F.filter("ks", lambda k: F.col("place") <= k)).alias("k"))
+    return asked.groupBy(*by, "k", "score").agg(F.avg("label").alias("value"))
+
+
 def slice_of_four(index: Column, n: Column) -> Column:
     """The quarter (0..3) of a 0-based place among n, where quarter q is places q*n//4 to (q+1)*n//4 - 1."""
     return F.floor((index * 4 + 3) / n).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestrata.operators import features, predictors
 from lodestrata.operators.charts import upper_median
-from lodestrata.operators.rankstats import value_ranks
+from lodestrata.operators.rankstats import group_precisions, value_ranks
 from lodestrata.session import cut
 
 
@@ -44,8 +44,8 @@ def split_timestamps(commits: DataFrame, by: list[str], fraction: float = 0.75)
     return found.select(*by, F.col("value").cast("bigint").alias("split_ts"))
 
 
-def many_histories(history: dict[str, DataFrame], fraction: float = 0.75) -> DataFrame:
-    """The predictor matrix of every repository at once, each split at its own time.
+def many_columns(history: dict[str, DataFrame], fraction: float = 0.75) -> DataFrame:
+    """Predictors and outcome of the files of every repository, each split at its own time, with its repo.
 
     A file belongs to the repository of its listed path, a commit to those of its files. Repositories with fewer
     than 20 commits have no split: all their changes count for predictors and all fixes as outcome.
@@ -61,4 +61,18 @@ def many_histories(history: dict[str, DataFrame], fraction: float = 0.75) -> Dat
     universe = features.universe(feats).join(ids, "file_id").join(split, "file_id")
     whole = F.col("split_ts").isNull()
     universe = universe.withColumn("fix_after", F.when(whole, F.col("fix_all")).otherwise(F.col("fix_after")))
-    return predictors.predictor_matrix(predictors.predictor_columns(universe, state), ["repo"])
+    return predictors.predictor_columns(universe, state)
+
+
+def many_histories(history: dict[str, DataFrame], fraction: float = 0.75) -> DataFrame:
+    """The predictor matrix of every repository at once; see `many_columns`."""
+    return predictors.predictor_matrix(many_columns(history, fraction), ["repo"])
+
+
+def precision_by_repository(columns: DataFrame) -> DataFrame:
+    """(repo, k, by_impact, by_churn, lift): precision of the files of the largest impact and churn, and the former over the share of files with fixes."""
+    columns = cut(columns.select("repo", "file_id", "impact", "churn", "label"))
+    value = lambda score: F.max(F.when(F.col("score") == score, F.col("value")))
+    both = group_precisions(columns, ["impact", "churn"], "label", "file_id", ["repo"]).groupBy("repo", "k").agg(value("impact").alias("by_impact"), value("churn").alias("by_churn"))
+    base = columns.groupBy("repo").agg(F.avg(F.col("label").cast("double")).alias("base"))
+    return both.join(base, "repo").select("repo", "k", "by_impact", "by_churn", F.try_divide("by_impact", "base").alias("lift"))

@@ -74,6 +74,16 @@ def prevalence(spark, folder):
     return features.universe(_features(spark, folder, split_of(spark, folder))).agg(F.count(F.lit(1)).alias("n_files"), F.round(F.avg((F.col("fix_after") > 0).cast("double")), 6).alias("prevalence"))
 
 
+def files_by_impact(spark, folder):
+    """The rows of files.csv."""
+    return features.by_impact(features.universe(_features(spark, folder, split_of(spark, folder)))).select("file_id", *features.LISTED)
+
+
+def top_files(spark, folder):
+    """The report's list of the 20 files of the largest impact."""
+    return files_by_impact(spark, folder).limit(20)
+
+
 def concentration(spark, folder):
     return features.concentration(table(spark, folder, "unit_changes"), table(spark, folder, "commits"))
 
@@ -158,7 +168,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         split_timestamp, file_features, snapshot_features, max_cc, commit_churn, commit_complexity, commit_entropy, change_entropy, hotspot,
-        prevalence, concentration, coupling, coupling_narrow, szz_links, szz_counts, szz_stats, szz_quartiles, avg_rank, pearson, spearman,
+        prevalence, files_by_impact, top_files, concentration, coupling, coupling_narrow, szz_links, szz_counts, szz_stats, szz_quartiles, avg_rank, pearson, spearman,
         partial_spearman, partial_multi, auc, precision_at_k, predictor_matrix,
     )
 }
@@ -215,6 +225,15 @@ def correlation_sql(columns: list[str], source: str) -> str:
     return f"rk AS (SELECT {ranks} FROM {source}), c0 AS ({pairs})"
 
 
+def schur_sql(controls: list[str], by: str) -> str:
+    """CTEs m1, m2, ... from m0 (by, i, j, r): what a matrix of correlations leaves when one control more is taken out of it each time."""
+    return ", ".join(
+        f"m{n + 1} AS (SELECT a.{by}, a.i, a.j, a.r - x.r * y.r / nullif(z.r, 0) AS r FROM m{n} a JOIN m{n} x ON x.{by} = a.{by} AND x.i = a.i AND x.j = '{k}' "
+        f"JOIN m{n} y ON y.{by} = a.{by} AND y.i = a.j AND y.j = '{k}' JOIN m{n} z ON z.{by} = a.{by} AND z.i = '{k}' AND z.j = '{k}' WHERE a.i <> '{k}' AND a.j <> '{k}')"
+        for n, k in enumerate(controls)
+    )
+
+
 def eliminate_sql(controls: list[str]) -> str:
     """CTEs c1, c2, ...: correlations given one control more each time."""
     steps = []
@@ -282,6 +301,9 @@ def _szz_sql() -> str:
     return f"WITH {_COMMITS} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, '{p}' AS predictor, '{c}' AS control, round(CAST({s} AS DOUBLE), 6) AS value" for m, p, c, s in parts)
 
 
+_LISTED = "file_id, " + ", ".join(features.LISTED)
+
+
 def _top(k: int, score: str) -> str:
     return f"(SELECT avg(label) FROM (SELECT label FROM pc ORDER BY {score} DESC, file_id LIMIT {k}))"
 
@@ -297,6 +319,8 @@ ORACLE = {
     "change_entropy": f"WITH {_FEATURES} SELECT file_id, round(entropy, 6) AS entropy FROM fent",
     "hotspot": f"WITH {_FEATURES} SELECT file_id, hotspot FROM feat",
     "prevalence": f"WITH {_FEATURES} SELECT count(*) AS n_files, round(avg(CASE WHEN fix_after > 0 THEN 1.0 ELSE 0.0 END), 6) AS prevalence FROM feat WHERE lang <> '' AND NOT is_test",
+    "files_by_impact": f"WITH {_FEATURES} SELECT {_LISTED} FROM feat WHERE lang <> '' AND NOT is_test ORDER BY impact_mut DESC, file_id",
+    "top_files": f"WITH {_FEATURES} SELECT {_LISTED} FROM feat WHERE lang <> '' AND NOT is_test ORDER BY impact_mut DESC, file_id LIMIT 20",
     "concentration": "SELECT coalesce(max(cc), 0) AS max_cc, coalesce(max(wmc_other), 0) AS max_wmc, (SELECT count(DISTINCT sha) FROM commits) AS n_commits FROM unit_changes",
     "coupling": _coupling_sql(30),
     "coupling_narrow": _coupling_sql(5),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestrata.functions import paths, units as u
-from lodestrata.operators import charts, features, identity, impact, summary
-from lodestrata.plans.analytics import rank_sql
+from lodestrata.operators import charts, features, identity, impact, predictors, summary
+from lodestrata.plans.analytics import rank_sql, schur_sql
 from lodestrata.plans.scalars import _SOURCE, LATEST
 from lodestrata.tables import table
 
@@ -128,6 +128,11 @@ def downsample(spark, folder):
     return charts.downsample(points, cap=1_000)
 
 
+def chart_cells(spark, folder):
+    """The charts of all commits as counts per cell."""
+    return charts.chart_cells(commit_series(spark, folder))
+
+
 def _many(spark: SparkSession, folder: str) -> DataFrame:
     return summary.many_histories({n: table(spark, folder, n) for n in ("commits", "file_changes", "unit_changes", "file_ids")})
 
@@ -147,11 +152,19 @@ def cross_repo_summary(spark, folder):
     return summary.cross_repo_summary(_many(spark, folder))
 
 
+def repo_precision(spark, folder):
+    """Precision at k of every repository."""
+    h = {n: table(spark, folder, n) for n in ("commits", "file_changes", "unit_changes", "file_ids")}
+    out = summary.precision_by_repository(summary.many_columns(h))
+    return out.select("repo", "k", *[F.round(c, 6).alias(c) for c in ("by_impact", "by_churn", "lift")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         container_wmc, wmc_after, wmc_before, name_match, change_kind, touched_units, rename_match, file_impact, commit_impact,
-        distinct_versions, file_identity, canonical_paths, commit_series, axis_scale, downsample, repo_splits, repo_ranking, cross_repo_summary,
+        distinct_versions, file_identity, canonical_paths, commit_series, axis_scale, downsample, chart_cells,
+        repo_splits, repo_ranking, repo_precision, cross_repo_summary,
     )
 }
 
@@ -170,6 +183,59 @@ _RSPLIT = """rt AS (SELECT DISTINCT repo, sha, ts FROM file_changes JOIN ids USI
 rs AS (SELECT repo, list_sort(list(ts))[CAST(least(count(*) - 1, floor(count(*) * 0.75)) AS BIGINT) + 1] AS split_ts FROM rt GROUP BY 1 HAVING count(*) >= 20)"""
 _L = "coalesce(add_lines, 0) + coalesce(del_lines, 0)"
 
+_BOTH = "coalesce(mutation_cost, 0) + coalesce(godclass_cost, 0)"
+# the columns of all files with their repositories, and their ranks in the four sets of files
+_MANY = f"""{_REPOS}, {_RSPLIT}, lc AS (SELECT sha, email, seq, ts FROM {LATEST}),
+sf AS (SELECT file_id, repo, split_ts FROM ids LEFT JOIN rs USING (repo)),
+c AS (SELECT f.*, repo, split_ts, coalesce(split_ts IS NULL OR f.ts <= split_ts, false) AS early FROM file_changes f JOIN sf USING (file_id)),
+pa AS (SELECT sha, file_id, sum({_L}) AS l FROM c WHERE sha IS NOT NULL AND early GROUP BY 1, 2 HAVING sum({_L}) > 0),
+en AS (SELECT sha, -sum((l / t) * log2(l / t)) AS h FROM (SELECT *, sum(l) OVER (PARTITION BY sha) AS t FROM pa) GROUP BY 1 HAVING count(*) > 1),
+fe AS (SELECT file_id, sum(h) AS entropy FROM pa JOIN en USING (sha) GROUP BY 1),
+mx AS (SELECT file_id, coalesce(max(cc), 0) AS max_cc FROM unit_changes GROUP BY 1),
+fx AS (SELECT repo, c.file_id, bool_or(coalesce(is_test, false)) AS is_test, bool_or(lang <> '') AS named, sum(CASE WHEN early THEN coalesce(mutation_cost, 0) ELSE 0 END) AS impact,
+  sum(CASE WHEN early THEN {_BOTH} ELSE 0 END) AS impact_comp, sum(CASE WHEN early THEN {_L} ELSE 0 END) AS churn, count(DISTINCT c.sha) FILTER (WHERE early) AS commits,
+  count(DISTINCT email) FILTER (WHERE early AND email <> '') AS ndev, count(*) FILTER (WHERE is_fix) AS fix_all, count(*) FILTER (WHERE is_fix AND (split_ts IS NULL OR c.ts > split_ts)) AS fixes
+  FROM c LEFT JOIN lc ON lc.sha = c.sha GROUP BY 1, 2),
+lv AS (SELECT file_id, CAST(sum(coalesce(add_lines, 0)) - sum(coalesce(del_lines, 0)) AS DOUBLE) AS size FROM c WHERE early GROUP BY 1),
+vr AS (SELECT u.file_id, unit, cc FROM unit_changes u JOIN sf USING (file_id) JOIN lc ON lc.sha = u.sha WHERE split_ts IS NULL OR lc.ts <= split_ts
+  QUALIFY row_number() OVER (PARTITION BY u.file_id, unit ORDER BY lc.seq DESC, cc DESC) = 1),
+wm AS (SELECT file_id, CAST(sum(cc) AS DOUBLE) AS wmc FROM vr GROUP BY 1),
+pc AS (SELECT repo, fx.file_id, impact, impact_comp, churn, commits, coalesce(max_cc, 0) * commits AS hotspot, CASE WHEN size > 0 THEN size END AS size, CASE WHEN lv.file_id IS NOT NULL THEN wmc END AS wmc,
+  round(coalesce(entropy, 0), 9) AS entropy, ndev, fix_all - fixes AS prior_fixes, fixes, CASE WHEN fixes > 0 THEN 1 ELSE 0 END AS label
+  FROM fx LEFT JOIN fe USING (file_id) LEFT JOIN mx USING (file_id) LEFT JOIN lv USING (file_id) LEFT JOIN wm USING (file_id) WHERE named AND NOT is_test)"""
+
+
+def _summary_sql() -> str:
+    """All statistics of every repository as rows, then what they are over the repositories."""
+    sets = " UNION ALL ".join(f"SELECT '{n}' AS subset, * FROM pc WHERE {' AND '.join(f'{c} IS NOT NULL' for c in need) or 'true'}" for n, need in predictors.PARTLY.items())
+    ranks = ", ".join(f"{rank_sql(c, 'subset, repo')} AS {c}" for c in predictors.COLUMNS)
+    core, many = ["churn", "hotspot", "size", "wmc"], ["churn", "hotspot", "size", "wmc", "entropy", "ndev"]
+    names = ["impact", "fixes", *many]
+    corr = lambda a, b: f"(CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END)"
+    of = lambda c: c if c in ("size", "wmc") else "all"
+    least = lambda c: " AND n > 2" if c in predictors.EXTRA else ""
+    rows = []
+    for c in [*predictors.CORE, *predictors.EXTRA]:
+        rows.append(f"SELECT 'spearman' AS metric, '{c}' AS predictor, '' AS control, {corr(c, 'fixes')} AS v FROM rk WHERE subset = '{of(c)}'{least(c)} GROUP BY repo")
+    for x, z in [("impact", z) for z in ("churn", "hotspot", *predictors.EXTRA)] + [("impact_comp", "churn")]:
+        rest = "(1 - xz * xz) * (1 - yz * yz)"
+        rows.append(f"""SELECT 'partial', '{x}', '{z}', CASE WHEN {rest} > 1e-15 THEN (xy - xz * yz) / sqrt({rest}) END
+FROM (SELECT {corr(x, 'fixes')} AS xy, {corr(x, z)} AS xz, {corr('fixes', z)} AS yz FROM rk WHERE subset = '{of(z)}'{least(z)} GROUP BY repo)""")
+    for c in ("impact", "impact_comp", "churn", "hotspot", *predictors.EXTRA):
+        rows.append(f"""SELECT 'auc', '{c}', '', CASE WHEN p > 0 AND p < n THEN (s - p * (p + 1) / 2.0) / (p * (n - p)) END
+FROM (SELECT sum(label) AS p, count(*) AS n, sum({c}) FILTER (WHERE label = 1) AS s FROM rk WHERE subset = '{of(c)}' GROUP BY repo)""")
+    for name, controls in (("multi_core", core), ("multi_all", many)):
+        step, pivots = len(controls), " * ".join(f"(SELECT r FROM m{i} WHERE m{i}.repo = g.repo AND i = '{k}' AND j = '{k}')" for i, k in enumerate(controls))
+        left = lambda i, j: f"(SELECT r FROM m{step} WHERE m{step}.repo = g.repo AND i = '{i}' AND j = '{j}')"  # noqa: B023, E731
+        rows.append(f"""SELECT 'partial', 'impact', '{name}', CASE WHEN abs(det) >= 1e-12 AND a > 1e-12 AND b > 1e-12 THEN greatest(-1, least(1, ab / sqrt(a * b))) END
+FROM (SELECT {pivots} AS det, {left('impact', 'impact')} AS a, {left('fixes', 'fixes')} AS b, {left('impact', 'fixes')} AS ab
+  FROM (SELECT repo FROM rk WHERE subset = 'both' GROUP BY repo HAVING count(*) > {len(controls) + 3}) g)""")
+    m0 = " UNION ALL ".join(f"SELECT repo, '{a}' AS i, '{b}' AS j, {corr(a, b)} AS r FROM rk WHERE subset = 'both' GROUP BY repo" for a in names for b in names)
+    return f"""WITH {_MANY}, st AS ({sets}), rk AS (SELECT subset, repo, label, count(*) OVER (PARTITION BY subset, repo) AS n, {ranks} FROM st),
+m0 AS ({m0}), {schur_sql(many, 'repo')}, al AS ({' UNION ALL '.join(rows)}), kn AS (SELECT metric, predictor, control, round(v, 6) AS v FROM al WHERE v IS NOT NULL)
+SELECT metric, predictor, control, count(*) AS n_repos, count(*) FILTER (WHERE v > 0) AS n_positive, min(v) AS least, max(v) AS most, list_sort(list(v))[count(*) // 2 + 1] AS median FROM kn GROUP BY 1, 2, 3"""
+
+
 # events and assignments are numbered in their order; a chain is walked from each assignment to its first parent
 _CHAINS = """WITH RECURSIVE r AS (SELECT file_id, seq, path, max(status) AS status FROM file_changes WHERE file_id IS NOT NULL AND path <> '' AND seq IS NOT NULL GROUP BY 1, 2, 3),
 o AS (SELECT *, lag(path) OVER (PARTITION BY file_id ORDER BY seq, path) AS old FROM r),
@@ -220,4 +286,16 @@ rk AS (SELECT repo, fixes, {rank_sql('impact', 'repo')} AS a, {rank_sql('churn',
 co AS (SELECT repo, count(*) AS n_files, avg(CASE WHEN fixes > 0 THEN 1.0 ELSE 0.0 END) AS prevalence, corr(a, d) AS ad, corr(a, b) AS ab, corr(d, b) AS db FROM rk GROUP BY 1)
 SELECT repo, n_files, round(prevalence, 6) AS prevalence, round(CASE WHEN isnan(ad) OR isnan(ab) OR isnan(db) OR (1 - ab * ab) * (1 - db * db) <= 1e-12 THEN NULL
   ELSE (ad - ab * db) / sqrt((1 - ab * ab) * (1 - db * db)) END, 6) AS partial_mut FROM co""",
+    "chart_cells": f"""WITH {_SERIES}, l AS ({_LONG}), p AS (SELECT metric, list_sort(list(value)) AS vs FROM l WHERE value > 0 GROUP BY 1),
+sc AS (SELECT l.metric, max(value) AS most, max(idx) + 1 AS total, CASE WHEN max(value) / CAST(greatest(any_value(vs)[len(any_value(vs)) // 2 + 1], 1) AS DOUBLE) > 50 THEN 'log' ELSE 'linear' END AS scale
+  FROM l LEFT JOIN p USING (metric) GROUP BY 1),
+ce AS (SELECT metric, scale, most, total, bug, least(floor(idx / CAST(total AS DOUBLE) * 240), 239) AS x,
+  CASE WHEN most > 0 THEN greatest(0, least(floor(CASE WHEN scale = 'log' THEN ln(1 + value) / ln(1 + most) ELSE value / CAST(most AS DOUBLE) END * 48), 47)) ELSE 0 END AS y FROM l JOIN sc USING (metric))
+SELECT metric, scale, most, total, bug, CAST(x AS INTEGER) AS "column", CAST(y AS INTEGER) AS "row", count(*) AS n FROM ce GROUP BY ALL""",
+    "repo_precision": f"""WITH {_MANY}, u AS (SELECT repo, label, count(*) OVER (PARTITION BY repo) AS n, avg(label) OVER (PARTITION BY repo) AS base,
+  row_number() OVER (PARTITION BY repo ORDER BY impact DESC, file_id) AS i, row_number() OVER (PARTITION BY repo ORDER BY churn DESC, file_id) AS j FROM pc),
+ks AS (SELECT DISTINCT repo, k FROM (SELECT repo, unnest(CASE WHEN n < 10 THEN [greatest(1, n // 10)] WHEN n < 25 THEN [10] WHEN n < 50 THEN [10, 25] ELSE [10, 25, 50] END) AS k FROM u))
+SELECT repo, CAST(k AS INTEGER) AS k, round(avg(label) FILTER (WHERE i <= k), 6) AS by_impact, round(avg(label) FILTER (WHERE j <= k), 6) AS by_churn,
+  round(avg(label) FILTER (WHERE i <= k) / nullif(any_value(base), 0), 6) AS lift FROM u JOIN ks USING (repo) GROUP BY repo, k""",
+    "cross_repo_summary": _summary_sql(),
 }

@@ -18,7 +18,6 @@ from lodestrata.sources import files, git
 
 #: Cells of a chart, and the pixels of a cell.
 COLUMNS, ROWS, CELL = 240, 48, 4
-_FILE_COLUMNS = ["path", "lang", "impact_mut", "impact_comp", "churn", "n_commits", "n_authors", "max_cc", "hotspot", "fix_all", "fix_after", "is_test"]
 
 
 def number(value: float | None, digits: int = 3) -> str:
@@ -104,8 +103,8 @@ def analyze(
     stats = statistics(predictors.predictor_matrix(columns))
     most = features.concentration(h["unit_changes"], h["commits"]).first()
     stats |= {"commits": float(most.n_commits), "max_cc": float(most.max_cc), "max_wmc": float(most.max_wmc)}
-    listed = universe.orderBy(F.desc("impact_mut"), "file_id")
-    listed.select(_FILE_COLUMNS).write.mode("overwrite").option("header", True).csv(f"{out}/files.csv")
+    listed = features.by_impact(universe)
+    listed.select(features.LISTED).write.mode("overwrite").option("header", True).csv(f"{out}/files.csv")
     pairs = cut(features.coupling(h["file_changes"], h["file_ids"]))
     pairs.select("support", F.format_number("confidence", 2).alias("confidence"), "file_a", "file_b").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/coupling.csv")
 

@@ -23,6 +23,7 @@ def test_repo_ranking(spark, data):
 
 def test_cross_repo_summary(spark, data):
     columns, rows = spark_rows(registry.QUERIES["cross_repo_summary"](spark, data))
+    assert (columns, rows) == sql_rows(connect(data), registry.ORACLE["cross_repo_summary"])
     at = {c: i for i, c in enumerate(columns)}
     assert rows and all(r[at["least"]] <= r[at["median"]] <= r[at["most"]] and 0 <= r[at["n_positive"]] <= r[at["n_repos"]] for r in rows)
     ranking = spark_rows(registry.QUERIES["repo_ranking"](spark, data))

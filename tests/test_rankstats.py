@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -96,3 +97,20 @@ def test_partitions_do_not_matter(spark):
         got.add(value(rs.partial_spearman(df.repartition(n), "x", "y", "z", "k")))
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert len(got) == 1
+
+
+def test_group_precisions(spark):
+    """Against a plain loop: groups of 0 to 60 rows, ties, null scores and a null group."""
+    rng = random.Random(5)
+    rows = [(g, i, rng.choice([None, 1.0, 2.0, 3.0]), float(i % 7), rng.choice([0, 1])) for g, n in (("a", 3), ("b", 9), ("c", 10), ("d", 27), ("e", 60)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, id int, x double, y double, label int")
+    got = {(r.g, r.k, r.score): r.value for r in rs.group_precisions(df, ["x", "y"], "label", "id", ["g"]).collect()}
+    expected = {}
+    for g in "abcde":
+        mine = [r for r in rows if r[0] == g]
+        for k in [k for k in (10, 25, 50) if k <= len(mine)] or [max(1, len(mine) // 10)]:
+            for score, at in (("x", 2), ("y", 3)):
+                best = sorted(mine, key=lambda r: (r[at] is None, -(r[at] or 0), r[1]))[:k]
+                expected[g, k, score] = sum(r[4] for r in best) / k
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in expected.items()}
+    assert rs.group_precisions(df.limit(0), ["x"], "label", "id", ["g"]).count() == 0
