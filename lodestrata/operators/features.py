@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestrata.operators.order import parted
+from lodestrata.session import cut
+
 
 def lines(add: str = "add_lines", gone: str = "del_lines") -> Column:
     """Lines added and removed; nulls are 0."""
@@ -37,16 +40,14 @@ def after_split(split: int | str | None) -> Column:
 def split_timestamp(commits: DataFrame, fraction: float = 0.75) -> DataFrame:
     """(split_ts): the positive time at place min(n - 1, floor(n * fraction)) of all commits; null for fewer than 20.
 
-    Times are counted per value first, so the order is found over distinct times and not over rows. Commits are
-    taken as stored after `latest_commits`.
+    Times are counted per value first, in one pass over the commits, so the order is found over distinct times and not
+    over rows, and range by range (`order.parted`). Commits are taken as stored after `latest_commits`.
     """
-    counts = commits.where("ts > 0").groupBy("ts").agg(F.count(F.lit(1)).alias("n"))
-    cuts = counts.agg(F.percentile_approx("ts", [i / 64 for i in range(1, 64)], 500).alias("cuts"))
-    parted = counts.withColumn("cuts", cuts.scalar()).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("ts"))))
+    rows = parted(cut(commits.where("ts > 0").groupBy("ts").agg(F.count(F.lit(1)).alias("n"))), "ts").withColumnRenamed("_part", "part")
     offset = F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parted.groupBy("part").agg(F.sum("n").alias("t")).select("part", offset.alias("offset"), F.sum("t").over(Window.partitionBy()).alias("total"))
+    parts = rows.groupBy("part").agg(F.sum("n").alias("t")).select("part", offset.alias("offset"), F.sum("t").over(Window.partitionBy()).alias("total"))
     up_to = F.sum("n").over(Window.partitionBy("part").orderBy("ts"))
-    placed = parted.join(parts, "part").select("ts", (up_to + F.col("offset")).alias("up_to"), "total")
+    placed = rows.join(F.broadcast(parts), "part").select("ts", (up_to + F.col("offset")).alias("up_to"), "total")
     place = F.least(F.col("total") - 1, F.floor(F.col("total") * fraction))
     return placed.where((F.col("total") >= 20) & (F.col("up_to") > place)).agg(F.min("ts").alias("split_ts"))
 
